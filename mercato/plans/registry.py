@@ -37,3 +37,83 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = dict(duckdb_sql.QUERIES)
+
+
+# ------------------------------------------------------------------ quality, functions, specs
+import datetime as _dt  # noqa: E402
+
+from mercato.operators import quality  # noqa: E402
+from mercato.plans import enrich  # noqa: E402
+from mercato.plans.spec import QuerySpec, run_spec  # noqa: E402
+from mercato.sources.star import read_table  # noqa: E402
+
+SERVICE_AS_OF = _dt.date(2025, 5, 30)
+
+
+def _duplicate_keys(star):
+    parts = [quality.duplicate_keys(df, name) for name, df in star.as_dict().items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _schema_violations(star):
+    parts = [quality.schema_violations(df, name) for name, df in star.as_dict().items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+SPEC_CITY_STAFF = (
+    QuerySpec().select("EmployeeID", "FirstName", "LastName", "HireDate").from_("employees")
+    .where(f"CityID = {duckdb_sql.R8_CITY}").order_by("HireDate", "DESC").order_by("EmployeeID").limit(5)
+)
+SPEC_SALES_BY_CATEGORY = (
+    QuerySpec()
+    .select("c.CategoryName as Categoria", "p.ProductName as Producto", "SUM(s.Quantity) as TotalVendido")
+    .from_("sales s").join("products p", "s.ProductID = p.ProductID").join("categories c", "p.CategoryID = c.CategoryID")
+    .group_by("c.CategoryName", "p.ProductName")
+    .order_by("Categoria", "ASC").order_by("TotalVendido", "DESC").order_by("Producto").limit(10)
+)
+SPEC_CATEGORY_PRICES = (
+    QuerySpec()
+    .select("c.CategoryName as Categoria", "COUNT(*) as total", "ROUND(AVG(p.Price), 2) as precio_promedio")
+    .from_("products p").join("categories c", "p.CategoryID = c.CategoryID")
+    .where("p.Price > 950").where("p.Class = 'High'")
+    .group_by("c.CategoryName").having("COUNT(*) > 5")
+    .order_by("precio_promedio", "DESC").order_by("Categoria").limit(10)
+)
+SPEC_SELLERS_LEFT_JOIN = (
+    QuerySpec()
+    .select("e.EmployeeID as EmployeeID", "COUNT(s.SalesID) as ventas", "SUM(s.Quantity) as unidades")
+    .from_("employees e").left_join("sales s", "s.SalesPersonID = e.EmployeeID")
+    .group_by("e.EmployeeID").having("ventas >= 0")
+)
+
+
+def _spec_query(spec: QuerySpec) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run_spec(load_star(spark, sf_dir).as_dict(), spec)
+
+    return run
+
+
+QUERIES.update(
+    {
+        "q17_duplicate_keys": _star_query(_duplicate_keys),
+        "q18_schema_violations": _star_query(_schema_violations),
+        "q19_row_counts": lambda spark, d: quality.row_count_check(load_star(spark, d).as_dict()),
+        "q21_orphan_counts": lambda spark, d: quality.orphan_counts(load_star(spark, d).as_dict()),
+        "f2_f3_customer_names": _star_query(enrich.customer_names),
+        "f10_f11_employee_service": _star_query(enrich.employee_service, as_of=SERVICE_AS_OF),
+        "f12_product_descriptions": _star_query(enrich.product_descriptions),
+        "f7_f8_event_minute_times": lambda spark, d: enrich.event_minute_times(read_table(spark, d, "events")),
+        "r1_spec_city_staff": _spec_query(SPEC_CITY_STAFF),
+        "r1_spec_sales_by_category": _spec_query(SPEC_SALES_BY_CATEGORY),
+        "r1_spec_category_prices": _spec_query(SPEC_CATEGORY_PRICES),
+        "r1_spec_sellers_left_join": _spec_query(SPEC_SELLERS_LEFT_JOIN),
+    }
+)
+ORACLE_SQL = dict(duckdb_sql.QUERIES)
