@@ -19,7 +19,7 @@ _US_PER_SECOND = 1_000_000
 def date_prefix(value: str | Column) -> Column:
     """Date from text of the form ``YYYY-MM-DD[ anything]``: the part before the first space is
     parsed strictly; anything unparsable gives null."""
-    return F.try_to_date(F.substring_index(F.trim(col(value)), " ", 1), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring_index(F.trim(col(value)), " ", 1), "yyyy-MM-dd")
 
 
 def _fraction_micros(frac: Column) -> Column:
