@@ -33,8 +33,12 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.operators.joins import checked_broadcast
 from mercato.operators.windows import sequence_ids
 
+# one Star per (session, folder): building it runs the dimension size checks once
+_LOADED: dict[tuple[int, str], "Star"] = {}
+
 
 @dataclass(frozen=True)
 class Star:
@@ -66,9 +70,19 @@ def _split_name(name: str):
     return first, last
 
 
-def load_star(spark: SparkSession, sf_dir: str) -> Star:
-    """Star tables derived from the parquet test tables in ``sf_dir``."""
-    return star_from_tables(lambda n: read_table(spark, sf_dir, n))
+def load_star(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Star:
+    """Star tables derived from the parquet test tables in ``sf_dir``.
+
+    Small dimensions (categories, cities, countries) are broadcast only after a row-count check;
+    with ``reuse`` the Star (its lazy plans and those check results) is kept per session and folder.
+    """
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    if reuse and key in _LOADED:
+        return _LOADED[key]
+    star = star_from_tables(lambda n: read_table(spark, sf_dir, n))
+    if reuse:
+        _LOADED[key] = star
+    return star
 
 
 def star_from_tables(table) -> Star:
@@ -130,15 +144,15 @@ def star_from_tables(table) -> Star:
         F.col("HireDate"),
     )
 
-    cities = nation.select(
+    cities = checked_broadcast(nation.select(
         F.col("n_nationkey").cast("long").alias("CityID"),
         F.col("n_name").alias("CityName"),
         F.lit(None).cast("string").alias("Zipcode"),
         F.col("n_regionkey").cast("long").alias("CountryID"),
-    )
-    countries = region.select(
+    ))
+    countries = checked_broadcast(region.select(
         F.col("r_regionkey").cast("long").alias("CountryID"),
         F.col("r_name").alias("CountryName"),
         F.upper(F.substring("r_name", 1, 2)).alias("CountryCode"),
-    )
+    ))
     return Star(sales, products, categories, customers, employees, cities, countries)
