@@ -444,3 +444,11 @@ def row_count_check(tables: dict[str, DataFrame], expected: dict[str, int] | Non
 def as_text(df: DataFrame) -> DataFrame:
     """Every column cast to text (what a CSV file would hold)."""
     return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+
+
+def spot_check(df: DataFrame, key: str, ids: list, columns: list[str], time_columns: tuple[str, ...] = ()) -> DataFrame:
+    """Rows named by ID (the filter reaches the scan as an IN list), times of day rendered as text."""
+    from mercato.functions.temporal import time_text
+
+    sel = [time_text(c).alias(c) if c in time_columns else F.col(c) for c in columns]
+    return df.filter(F.col(key).isin(list(ids))).select(*sel)

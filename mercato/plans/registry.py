@@ -117,3 +117,15 @@ QUERIES.update(
     }
 )
 ORACLE_SQL = dict(duckdb_sql.QUERIES)
+
+SPOT_PRODUCTS = [1, 2, 3, 4, 5]
+
+QUERIES.update(
+    {
+        "q20_spot_check_products": lambda spark, d: quality.spot_check(
+            load_star(spark, d).products, "ProductID", SPOT_PRODUCTS, ["ProductID", "ProductName", "Price", "ModifyDate"],
+            time_columns=("ModifyDate",),
+        ),
+        "o2_first_customers": lambda spark, d: load_star(spark, d).customers.orderBy("CustomerID").limit(5),
+    }
+)
