@@ -63,6 +63,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` on ``keys`` over all cores when its scan has fewer splits than cores.
+
+    A Parquet row group cannot be split, so a small file written as one row group is read by one
+    task and everything fused into that scan stage (joins, partial aggregation) runs on one core.
+    Large inputs have many splits and are left as they are. Hash partitioning on the join key is
+    deterministic (safe to recompute) and lets the following join on that key reuse it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, *keys)
+    return df
+
+
 def _split_name(name: str):
     c = F.col(name)
     first = F.substring_index(c, "#", 1)
@@ -86,7 +100,7 @@ def load_star(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Star:
 
 
 def star_from_tables(table) -> Star:
-    lineitem, orders, part = table("lineitem"), table("orders"), table("part")
+    lineitem, orders, part = spread(table("lineitem"), "l_orderkey"), spread(table("orders"), "o_orderkey"), table("part")
     customer, supplier = table("customer"), table("supplier")
     nation, region = table("nation"), table("region")
 
