@@ -10,7 +10,6 @@ The Spanish method names of the original builder are kept as aliases.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -126,13 +125,6 @@ def _table(tables: dict[str, DataFrame], ref: str) -> DataFrame:
     return lookup[name.lower()].alias(alias)
 
 
-_ALIAS = re.compile(r"^(?P<expr>.*?)\s+(?:AS\s+)?(?P<alias>`[^`]+`|[A-Za-z_][\w]*)\s*$", re.IGNORECASE | re.DOTALL)
-
-
-def _output_name(item: str, column: Column, df: DataFrame) -> str:
-    return df.select(column).columns[0]
-
-
 def run_spec(tables: dict[str, DataFrame], spec: QuerySpec) -> DataFrame:
     """Run a :class:`QuerySpec` over named DataFrames (``{"sales": df, ...}``)."""
     spec.validate()
