@@ -36,7 +36,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app="mercato-bench")
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=2 * cpus, app="mercato-bench")
     # warm-up (JVM start, class loading, first parquet footers) is not counted
     QUERIES["r9_load_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}

@@ -155,12 +155,13 @@ def sequence_ids(
 ) -> DataFrame:
     """Number the rows 1..n in ``order_by`` order (dimension surrogate keys).
 
-    When ``df`` is proven to hold at most ``small_rows`` rows, a plain window does it and the result
-    carries a broadcast hint (its size is proven); otherwise :func:`global_row_number`.
+    When ``df`` is proven to hold at most ``small_rows`` rows, a plain window does it; the result is
+    cached (a lost block recomputes to the same rows: the order is total on distinct keys) and
+    carries a broadcast hint (its size is proven). Otherwise :func:`global_row_number`.
     """
     if has_at_most(df, small_rows):
         w = Window.orderBy(*_sort_cols(order_by, ascending))
-        return F.broadcast(df.withColumn(name, F.row_number().over(w).cast("long")))
+        return F.broadcast(df.withColumn(name, F.row_number().over(w).cast("long")).cache())
     return global_row_number(df, order_by, ascending, name)
 
 

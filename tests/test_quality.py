@@ -130,3 +130,13 @@ def test_star_quality_matches_expectations(star):
     assert set(counts.values()) == {0} and len(counts) == 7
     checks = {r.table: (r.rows, r.ok) for r in quality.row_count_check(tables).collect()}
     assert checks["countries"] == (5, False)
+
+
+def test_sales_view_keeps_sales_without_seller(star):
+    from mercato.plans import reports
+
+    view = reports.sales_detail_view(star)
+    assert view.count() == star.sales.count()
+    no_seller = view.filter("ID_Empleado_Vendedor IS NULL")
+    assert no_seller.count() == star.sales.filter("SalesPersonID IS NULL").count() > 0
+    assert no_seller.filter("Nombre_Completo_Empleado_Vendedor IS NOT NULL").count() == 0
