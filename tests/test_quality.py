@@ -140,3 +140,15 @@ def test_sales_view_keeps_sales_without_seller(star):
     no_seller = view.filter("ID_Empleado_Vendedor IS NULL")
     assert no_seller.count() == star.sales.filter("SalesPersonID IS NULL").count() > 0
     assert no_seller.filter("Nombre_Completo_Empleado_Vendedor IS NOT NULL").count() == 0
+
+
+def test_orphan_counts_with_cut_parent(star):
+    tables = star.as_dict()
+    tables["products"] = star.products.filter("ProductID % 50 <> 0")  # a cut parent makes orphans
+    counts = {(r.table, r.column): r.orphans for r in quality.orphan_counts(tables).collect()}
+    expected = star.sales.filter("ProductID % 50 = 0").count()
+    assert expected > 0 and counts[("sales", "ProductID")] == expected
+    assert sum(v for k, v in counts.items() if k != ("sales", "ProductID")) == 0
+    from mercato.operators import orphans
+
+    assert orphans(tables["sales"], "ProductID", tables["products"], "ProductID").count() == expected
