@@ -70,3 +70,26 @@ def test_top_n_per_group_keeps_ties(spark):
     assert got == [("a", 1, 1), ("a", 2, 1), ("b", 5, 1)]
     plan = top_n_per_group(df, "g", "v", 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    values=st.lists(st.one_of(st.none(), st.integers(0, 6)), min_size=1, max_size=60),
+    parts=st.integers(1, 7),
+    k=st.integers(1, 9),
+    desc=st.booleans(),
+)
+def test_property_rank_and_ntile(spark, values, parts, k, desc):
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v long")
+    order = F.col("v").desc() if desc else F.col("v").asc()
+    exp = df.withColumn("r", F.rank().over(Window.orderBy(order))).withColumn(
+        "q", F.ntile(k).over(Window.orderBy(order, F.col("id")))
+    )
+    got_r = global_rank(df, "v", not desc, name="r", num_partitions=parts)
+    got_q = global_ntile(df, k, ["v", "id"], [not desc, True], name="q", num_partitions=parts)
+    assert as_map(got_r, "r") == as_map(exp, "r")
+    assert as_map(got_q, "q") == as_map(exp, "q")
