@@ -461,3 +461,35 @@ def spot_check(df: DataFrame, key: str, ids: list, columns: list[str], time_colu
 
     sel = [time_text(c).alias(c) if c in time_columns else F.col(c) for c in columns]
     return df.filter(F.col(key).isin(list(ids))).select(*sel)
+
+
+def validate_folder(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Validate the seven star-table CSV files of ``folder``.
+
+    Returns ``(report, summary)``: the report rows of every file (a missing file is one
+    ``missing_file`` row) and one summary row per file with its problem count and first five
+    problems, plus the run's total problems and the number of files read.
+    """
+    import os
+
+    reports = [validate_file(spark, os.path.join(folder, name), name) for name in VALIDATION]
+    report = reports[0]
+    for r in reports[1:]:
+        report = report.unionByName(r)
+    files = spark.createDataFrame([(name,) for name in VALIDATION], "table string")
+    missing = report.filter(F.col("rule") == "missing_file").select("table", F.lit(True).alias("missing"))
+    per_file = (
+        files.join(error_summary(report), "table", "left")
+        .join(missing, "table", "left")
+        .select(
+            "table",
+            F.coalesce("problems", F.lit(0)).cast("long").alias("problems"),
+            "first_problems",
+            F.coalesce("missing", F.lit(False)).alias("missing"),
+        )
+    )
+    everything = Window.partitionBy()  # one row per file: seven rows
+    summary = per_file.withColumn("total_problems", F.sum("problems").over(everything)).withColumn(
+        "files_read", F.sum(F.when(~F.col("missing"), 1).otherwise(0)).over(everything)
+    )
+    return report, summary

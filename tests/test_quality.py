@@ -152,3 +152,15 @@ def test_orphan_counts_with_cut_parent(star):
     from mercato.operators import orphans
 
     assert orphans(tables["sales"], "ProductID", tables["products"], "ProductID").count() == expected
+
+
+def test_validate_folder_summary(spark, tmp):
+    write(os.path.join(tmp, "countries.csv"), "CountryID,CountryName,CountryCode\n1,Argentina,AR\nx,,BR\n")
+    write(os.path.join(tmp, "categories.csv"), "CategoryID,CategoryName\n1,Produce\n")
+    report, summary = quality.validate_folder(spark, tmp)
+    rows = {r.table: r for r in summary.collect()}
+    assert len(rows) == 7
+    assert rows["countries.csv"].problems == 2 and not rows["countries.csv"].missing
+    assert rows["categories.csv"].problems == 0
+    assert rows["sales.csv"].missing and rows["sales.csv"].problems == 1
+    assert rows["sales.csv"].total_problems == 2 + 5 and rows["sales.csv"].files_read == 2
