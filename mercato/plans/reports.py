@@ -177,6 +177,16 @@ def sales_detail_view(star: Star) -> DataFrame:
     )
 
 
+SALES_VIEW = "VistaVentasGlobalesDetalladas"
+
+
+def register_sales_view(star: Star, name: str = SALES_VIEW) -> DataFrame:
+    """Register :func:`sales_detail_view` as a temporary view (``SELECT * FROM <name> ...`` in SQL)."""
+    view = sales_detail_view(star)
+    view.createOrReplaceTempView(name)
+    return view
+
+
 # --------------------------------------------------------------------------------------------- R6
 def employee_product_summary(star: Star, employee_id: int) -> DataFrame:
     """Per product: quantity and net value sold by one seller, highest value first."""

@@ -164,3 +164,21 @@ def test_validate_folder_summary(spark, tmp):
     assert rows["categories.csv"].problems == 0
     assert rows["sales.csv"].missing and rows["sales.csv"].problems == 1
     assert rows["sales.csv"].total_problems == 2 + 5 and rows["sales.csv"].files_read == 2
+
+
+def test_command_line_validate_and_load(tmp, capsys, spark):
+    from mercato.__main__ import main
+
+    write(os.path.join(tmp, "countries.csv"), "CountryID,CountryName,CountryCode\n1,Argentina,AR\n2,Chile,CL\n")
+    write(os.path.join(tmp, "categories.csv"), "CategoryID,CategoryName\n1,Produce\n")
+    out = os.path.join(tmp, "out")
+    assert main(["--master", "local[2]", "load", tmp, out]) == 0
+    text = capsys.readouterr().out
+    assert "countries: 2 rows, 0 rejected" in text and "sales: no file" in text
+    assert spark.read.parquet(os.path.join(out, "categories")).count() == 1
+    write(os.path.join(tmp, "categories.csv"), "CategoryID,CategoryName\n1,Produce\nx,Dairy\n")
+    assert main(["--master", "local[2]", "load", tmp, out]) == 2
+    assert "categories: stopped, too many errors: 1 of 2 rows" in capsys.readouterr().out
+    assert main(["--master", "local[2]", "validate", tmp]) == 1
+    text = capsys.readouterr().out
+    assert "categories.csv: 1 problems" in text and "sales.csv: missing" in text

@@ -17,3 +17,9 @@ def test_parameterised_sql_matches_report(spark, star):
             for r in reports.employee_product_summary(star, emp).collect()
         }
         assert got == exp and len(got) > 0
+
+
+def test_named_sales_view(spark, star):
+    reports.register_sales_view(star)
+    rows = spark.sql(f"SELECT * FROM {reports.SALES_VIEW} ORDER BY ID_Venta LIMIT 5").collect()
+    assert len(rows) == 5 and len(rows[0]) == 18
