@@ -48,22 +48,21 @@ def _sort_cols(order_by: Sequence[str], ascending: bool | Sequence[bool]) -> lis
     return [F.col(c).asc() if a else F.col(c).desc() for c, a in zip(order_by, asc)]
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _row_numbers(df: DataFrame, sort_cols: list[Column], num_partitions: int | None, with_total: bool) -> DataFrame:
     """``df`` plus ``_POS`` (1-based global row number) and optionally ``_TOTAL``."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = _num_partitions(df, num_partitions)
     # deterministic tie-break: equal sort keys still spread over partitions, the order is total
     tie = F.xxhash64(*[F.col(c) for c in df.columns])
     keyed = df.withColumn(_TIE, tie)
     order = sort_cols + [F.col(_TIE).asc()]
-    ranged = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Without an explicit count the range exchange uses spark.sql.shuffle.partitions and AQE may
+    # merge adjacent ranges by measured size (merging neighbours keeps the global order).
+    if num_partitions:
+        ranged = keyed.repartitionByRange(int(num_partitions), *order)
+    else:
+        ranged = keyed.repartitionByRange(*order)
+    ranged = ranged.sortWithinPartitions(*order)
     materialised = ranged.checkpoint(eager=True)
 
     # monotonically_increasing_id() = (partition index << 33) + position inside the partition

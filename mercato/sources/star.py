@@ -71,10 +71,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Large inputs have many splits and are left as they are. Hash partitioning on the join key is
     deterministic (safe to recompute) and lets the following join on that key reuse it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *keys)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view of the plan (e.g. Spark Connect): leave the scan as is
+        return df
+    return df.repartition(cores, *keys) if splits < cores else df
 
 
 def _split_name(name: str):

@@ -93,3 +93,12 @@ def test_property_rank_and_ntile(spark, values, parts, k, desc):
     got_q = global_ntile(df, k, ["v", "id"], [not desc, True], name="q", num_partitions=parts)
     assert as_map(got_r, "r") == as_map(exp, "r")
     assert as_map(got_q, "q") == as_map(exp, "q")
+
+
+def test_default_partitioning_path(spark):
+    # no explicit partition count: the range exchange uses the session's count and AQE may merge
+    df = skewed(spark, n=4000, seed=11)
+    w = Window.orderBy(F.col("v").desc(), F.col("id").asc())
+    exp = df.withColumn("q", F.ntile(4).over(w)).withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc())))
+    assert as_map(global_ntile(df, 4, ["v", "id"], [False, True], name="q"), "q") == as_map(exp, "q")
+    assert as_map(global_rank(df, "v", False, name="r"), "r") == as_map(exp, "r")
