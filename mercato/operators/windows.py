@@ -22,6 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from mercato.operators.joins import has_at_most
 from mercato.session import ensure_checkpoint_dir
@@ -53,7 +54,8 @@ def _row_numbers(df: DataFrame, sort_cols: list[Column], num_partitions: int | N
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     # deterministic tie-break: equal sort keys still spread over partitions, the order is total
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    tie = F.xxhash64(*[F.col(c) for c in hashable]) if hashable else F.lit(0).cast("long")
     keyed = df.withColumn(_TIE, tie)
     order = sort_cols + [F.col(_TIE).asc()]
     # Without an explicit count the range exchange uses spark.sql.shuffle.partitions and AQE may
