@@ -59,6 +59,34 @@ class Star:
             df.createOrReplaceTempView(prefix + name)
 
 
+def write_star(star: Star, path: str, mode: str = "overwrite") -> None:
+    """Materialise the seven tables as Parquet under ``path/<table>`` (build once, query many).
+
+    The fact is written sorted inside each file by product, so Parquet min/max statistics let
+    product filters skip row groups.
+    """
+    for name, df in star.as_dict().items():
+        out = df.sortWithinPartitions("ProductID") if name == "sales" else df
+        out.write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
+
+
+def read_star(spark: SparkSession, path: str) -> Star:
+    """The seven tables written by :func:`write_star` (or by the CSV loader) under ``path``.
+
+    Small dimensions are broadcast only after their row-count check, as in :func:`load_star`.
+    """
+    t = {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in (f.name for f in fields(Star))}
+    return Star(
+        sales=t["sales"],
+        products=t["products"],
+        categories=checked_broadcast(t["categories"]),
+        customers=t["customers"],
+        employees=t["employees"],
+        cities=checked_broadcast(t["cities"]),
+        countries=checked_broadcast(t["countries"]),
+    )
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
