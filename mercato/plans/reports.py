@@ -14,10 +14,12 @@ Plan shape notes (what each plan does at scale):
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.money import discounted_quantity, money_text_es, net_value, segment_label
+from mercato.functions.money import money_text_es, net_value, segment_label
 from mercato.functions.names import full_name_sql
 from mercato.operators.windows import global_ntile, global_rank, top_n_per_group
 from mercato.sources.star import Star
@@ -26,23 +28,42 @@ _DQ = "__dq"  # SUM(Quantity * (1 - Discount)), the price-free part of the net v
 _QTY = "__qty"
 
 
+def _discount_unit(star: Star) -> int:
+    """10 ** (scale of Discount): Quantity * (1 - Discount) is a whole number of these units."""
+    return 10 ** star.sales.schema["Discount"].dataType.scale
+
+
 def _sales_by(star: Star, keys: list[str], with_quantity: bool = False) -> DataFrame:
-    aggs = [F.sum(discounted_quantity("Quantity", "Discount")).alias(_DQ)]
+    """Per ``keys``: ``SUM(Quantity * (1 - Discount))`` counted exactly in discount units as a LONG
+    (cents for DECIMAL(10,2)). Long sums stay on Spark's fast path; a DECIMAL(34,2) sum would run
+    through BigDecimal. Overflow would need ~10^15 rows of one group; ANSI mode raises if it happens."""
+    unit = _discount_unit(star)
+    units = F.col("Quantity").cast("long") * (
+        F.lit(unit) - F.coalesce((F.col("Discount") * F.lit(unit)).cast("long"), F.lit(0))
+    )
+    aggs = [F.sum(units).alias(_DQ)]
     if with_quantity:
         aggs.append(F.sum("Quantity").alias(_QTY))
     return star.sales.groupBy(*keys).agg(*aggs)
 
 
-def _priced(per_product: DataFrame, products: DataFrame, *product_cols: str) -> DataFrame:
-    """Join per-product partial sums to products and turn them into net values (``__net``)."""
+def _priced(per_product: DataFrame, products: DataFrame, *product_cols: str, unit: int = 100) -> DataFrame:
+    """Join per-product partial sums to products and turn them into exact net values (``__net``,
+    scale 6): ``units * Price / unit``."""
     p = products.select("ProductID", "Price", *product_cols)
-    return per_product.join(p, "ProductID").withColumn("__net", F.col(_DQ) * F.col("Price"))
+    scale = len(str(unit)) - 1
+    per_unit = F.lit(Decimal(1).scaleb(-scale))  # 0.01 for cents
+    return per_product.join(p, "ProductID").withColumn(
+        "__net", F.col(_DQ).cast("decimal(20,0)") * F.col("Price") * per_unit
+    )
 
 
 # --------------------------------------------------------------------------------------------- R2
 def top_products_by_category(star: Star, n: int = 3) -> DataFrame:
     """Top-``n`` products by net sales inside each category (``rank()``, ties kept)."""
-    per_product = _priced(_sales_by(star, ["ProductID"]), star.products, "ProductName", "CategoryID")
+    per_product = _priced(
+        _sales_by(star, ["ProductID"]), star.products, "ProductName", "CategoryID", unit=_discount_unit(star)
+    )
     amounts = per_product.groupBy("ProductID", "ProductName", "CategoryID").agg(
         F.sum("__net").alias("Monto_Total_Ventas_Netas")
     )
@@ -62,7 +83,7 @@ def employee_ranking(star: Star) -> DataFrame:
     """Sellers ranked by net sales value and by quantity sold (two ``rank()`` over all sellers)."""
     pairs = _sales_by(star, ["SalesPersonID", "ProductID"], with_quantity=True)
     per_seller = (
-        _priced(pairs, star.products)
+        _priced(pairs, star.products, unit=_discount_unit(star))
         .groupBy("SalesPersonID")
         .agg(F.sum(_QTY).alias(_QTY), F.sum("__net").alias("__net"))
     )
@@ -190,11 +211,10 @@ def register_sales_view(star: Star, name: str = SALES_VIEW) -> DataFrame:
 # --------------------------------------------------------------------------------------------- R6
 def employee_product_summary(star: Star, employee_id: int) -> DataFrame:
     """Per product: quantity and net value sold by one seller, highest value first."""
-    mine = star.sales.filter(F.col("SalesPersonID") == F.lit(employee_id))
-    per_product = mine.groupBy("SalesPersonID", "ProductID").agg(
-        F.sum("Quantity").alias(_QTY), F.sum(discounted_quantity("Quantity", "Discount")).alias(_DQ)
+    per_product = _sales_by(star, ["SalesPersonID", "ProductID"], with_quantity=True).filter(
+        F.col("SalesPersonID") == F.lit(employee_id)
     )
-    priced = _priced(per_product, star.products, "ProductName")
+    priced = _priced(per_product, star.products, "ProductName", unit=_discount_unit(star))
     e = star.employees.filter(F.col("EmployeeID") == F.lit(employee_id)).select(
         "EmployeeID", "FirstName", "MiddleInitial", "LastName"
     )
