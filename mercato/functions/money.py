@@ -17,16 +17,6 @@ def net_value(quantity: str | Column, price: str | Column, discount: str | Colum
     return col(quantity) * col(price) * (F.lit(1) - F.coalesce(col(discount), F.lit(0)))
 
 
-def discounted_quantity(quantity: str | Column, discount: str | Column) -> Column:
-    """``quantity * (1 - coalesce(discount, 0))``: the price-free factor of :func:`net_value`.
-
-    Summing this per product and multiplying by the product's price afterwards gives exactly the
-    sum of :func:`net_value` (decimal arithmetic is exact here), which lets plans aggregate the
-    fact table *before* joining it to products.
-    """
-    return col(quantity) * (F.lit(1) - F.coalesce(col(discount), F.lit(0)))
-
-
 def money_text_es(value: str | Column) -> Column:
     """Money text with 2 decimals, '.' for thousands and ',' for decimals: ``1.234.567,90``.
 
