@@ -10,12 +10,15 @@ The Spanish method names of the original builder are kept as aliases.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_STRINGS = re.compile(r"'(?:[^']|'')*'")
+_IDENT = re.compile(r"(?<![\w.`])`?([A-Za-z_][A-Za-z0-9_]*)`?(?![\w.(])")
+
 # Join types accepted by Spark, as written by users (a cross join needs no spec: it is refused).
 _JOIN_TYPES = {
     "INNER": "inner",
@@ -137,15 +140,16 @@ def run_spec(tables: dict[str, DataFrame], spec: QuerySpec) -> DataFrame:
     items = [F.expr(s) for s in spec.select_items]
     if spec.group_items:
         keys = [F.expr(g) for g in spec.group_items]
+        outputs = {c.lower() for c in df.groupBy(*keys).agg(*items).columns}
+        inputs = {c.lower() for c in df.columns}
         hidden: list[Column] = []
         late: list[str] = []
         for i, h in enumerate(spec.having_items):
-            probe = F.expr(h).alias(f"__having_{i}")
-            try:
-                df.groupBy(*keys).agg(probe).schema  # resolvable as an aggregate predicate?
-                hidden.append(probe)
-            except AnalysisException:
+            names = {t.lower() for t in _IDENT.findall(_STRINGS.sub("", h))}
+            if names & (outputs - inputs):
                 late.append(h)  # refers to output names: filter after the projection
+            else:
+                hidden.append(F.expr(h).alias(f"__having_{i}"))  # aggregate predicate
         grouped = df.groupBy(*keys).agg(*items, *hidden)
         n_keys, n_items = len(keys), len(items)
         names = grouped.columns
