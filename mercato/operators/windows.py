@@ -11,6 +11,11 @@ a single partition (``Exchange SinglePartition``). The functions here keep the w
    broadcast them back (the only single-partition step is over these counts);
 4. row number = partition offset + position inside the partition.
 
+When the caller has proven that the input holds at most :data:`SINGLE_TASK_ROWS` rows (``max_rows``,
+for example from a row-count check of the dimension the input was grouped by), a plain window is
+cheaper than the passes above and one task sorting that many narrow rows is no bottleneck; without
+such a proof the distributed form is used.
+
 ``global_rank`` derives ranks from row numbers (the rank of a key is the smallest row number of the
 key) with an aggregation, which combines map-side, so a hot key value never lands in one task.
 ``global_ntile`` derives buckets from row numbers and the total count.
@@ -34,6 +39,20 @@ _CNT = "__mc_cnt"
 _TOTAL = "__mc_total"
 _TIE = "__mc_tie"
 
+# A window without PARTITION BY runs in one task: allowed only for inputs proven to hold at most this
+# many rows (a sort of a million narrow rows takes one task about a second and fits in its memory).
+SINGLE_TASK_ROWS = 1_000_000
+
+
+def _single_task(max_rows: int | None) -> bool:
+    return max_rows is not None and max_rows <= SINGLE_TASK_ROWS
+
+
+def _tie_break(df: DataFrame) -> Column:
+    """A deterministic hash of the whole row: equal sort keys get a fixed, reproducible order."""
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    return F.xxhash64(*[F.col(c) for c in hashable]) if hashable else F.lit(0).cast("long")
+
 
 def _as_list(x) -> list:
     return list(x) if isinstance(x, (list, tuple)) else [x]
@@ -54,9 +73,7 @@ def _row_numbers(df: DataFrame, sort_cols: list[Column], num_partitions: int | N
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     # deterministic tie-break: equal sort keys still spread over partitions, the order is total
-    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
-    tie = F.xxhash64(*[F.col(c) for c in hashable]) if hashable else F.lit(0).cast("long")
-    keyed = df.withColumn(_TIE, tie)
+    keyed = df.withColumn(_TIE, _tie_break(df))
     order = sort_cols + [F.col(_TIE).asc()]
     # Without an explicit count the range exchange uses spark.sql.shuffle.partitions and AQE may
     # merge adjacent ranges by measured size (merging neighbours keeps the global order).
@@ -89,12 +106,17 @@ def global_row_number(
     ascending: bool | Sequence[bool] = True,
     name: str = "row_number",
     num_partitions: int | None = None,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """``row_number() OVER (ORDER BY order_by)`` as a LongType column ``name``, computed distributed.
 
     Rows equal on every order column are numbered in a deterministic (hash) order; add a unique
-    column to ``order_by`` for a fully specified order.
+    column to ``order_by`` for a fully specified order. ``max_rows``: a proven upper bound on the
+    rows of ``df`` (see :data:`SINGLE_TASK_ROWS`).
     """
+    if _single_task(max_rows):
+        w = Window.orderBy(*_sort_cols(order_by, ascending), _tie_break(df).asc())
+        return df.withColumn(name, F.row_number().over(w).cast("long"))
     out = _row_numbers(df, _sort_cols(order_by, ascending), num_partitions, with_total=False)
     return out.withColumnRenamed(_POS, name)
 
@@ -106,14 +128,18 @@ def global_ntile(
     ascending: bool | Sequence[bool] = True,
     name: str = "ntile",
     num_partitions: int | None = None,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """``ntile(buckets) OVER (ORDER BY order_by)`` as a LongType column ``name``, computed distributed.
 
     Row ``r`` of ``n`` with ``q = n div k`` and ``m = n mod k``: the first ``m`` buckets hold ``q + 1``
-    rows, the others ``q``.
+    rows, the others ``q``. ``max_rows``: a proven upper bound on the rows of ``df``.
     """
     if buckets <= 0:
         raise ValueError("buckets must be positive")
+    if _single_task(max_rows):
+        w = Window.orderBy(*_sort_cols(order_by, ascending), _tie_break(df).asc())
+        return df.withColumn(name, F.ntile(buckets).over(w).cast("long"))
     out = _row_numbers(df, _sort_cols(order_by, ascending), num_partitions, with_total=True)
     r, n, k = F.col(_POS), F.col(_TOTAL), F.lit(buckets).cast("long")
     q = F.floor(n / k).cast("long")
@@ -133,13 +159,18 @@ def global_rank(
     ascending: bool | Sequence[bool] = True,
     name: str = "rank",
     num_partitions: int | None = None,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """``rank() OVER (ORDER BY order_by)`` as a LongType column ``name``, computed distributed.
 
     The rank of a key value is the smallest global row number among the rows holding it; that
     minimum is an aggregation (map-side combined, so a hot key value is no bottleneck) joined back.
+    ``max_rows``: a proven upper bound on the rows of ``df``.
     """
     keys = _as_list(order_by)
+    if _single_task(max_rows):
+        w = Window.orderBy(*_sort_cols(keys, ascending))
+        return df.withColumn(name, F.rank().over(w).cast("long"))
     numbered = _row_numbers(df, _sort_cols(keys, ascending), num_partitions, with_total=False)
     renamed = [f"__mc_k{i}" for i in range(len(keys))]
     first = numbered.groupBy(*[F.col(k).alias(r) for k, r in zip(keys, renamed)]).agg(F.min(_POS).alias(name))

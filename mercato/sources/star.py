@@ -33,11 +33,13 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.operators.joins import checked_broadcast
+from mercato.operators.joins import checked_broadcast, has_at_most
 from mercato.operators.windows import sequence_ids
 
 # one Star per (session, folder): building it runs the dimension size checks once
 _LOADED: dict[tuple[int, str], "Star"] = {}
+# row-count checks per star: id(star) -> (star, {(table, max_rows): proven})
+_ROW_CHECKS: dict[int, tuple["Star", dict[tuple[str, int], bool]]] = {}
 
 
 @dataclass(frozen=True)
@@ -59,6 +61,18 @@ class Star:
             df.createOrReplaceTempView(prefix + name)
 
 
+def proven_rows(star: Star, table: str, max_rows: int) -> int | None:
+    """``max_rows`` when table ``table`` of ``star`` is proven to hold at most that many rows, else
+    ``None``. One bounded ``limit(max_rows + 1).count()`` job per star, table and bound."""
+    if max_rows <= 0:
+        return None
+    _, checks = _ROW_CHECKS.setdefault(id(star), (star, {}))
+    key = (table, max_rows)
+    if key not in checks:
+        checks[key] = has_at_most(getattr(star, table), max_rows)
+    return max_rows if checks[key] else None
+
+
 def write_star(star: Star, path: str, mode: str = "overwrite") -> None:
     """Materialise the seven tables as Parquet under ``path/<table>`` (build once, query many).
 

@@ -102,3 +102,44 @@ def test_default_partitioning_path(spark):
     exp = df.withColumn("q", F.ntile(4).over(w)).withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc())))
     assert as_map(global_ntile(df, 4, ["v", "id"], [False, True], name="q"), "q") == as_map(exp, "q")
     assert as_map(global_rank(df, "v", False, name="r"), "r") == as_map(exp, "r")
+
+
+def test_proven_small_path_equals_distributed_path(spark):
+    # with a proven row bound the operators use plain windows; the numbers must not change
+    df = skewed(spark, n=2500, seed=3)
+    for fn, args in (
+        (global_rank, ("v", False)),
+        (global_row_number, (["v", "id"], [False, True])),
+        (global_row_number, ("v", False)),  # ties: both paths order them by the same row hash
+    ):
+        small = fn(df, *args, name="x", max_rows=2500)
+        big = fn(df, *args, name="x", num_partitions=5)
+        assert as_map(small, "x") == as_map(big, "x"), fn.__name__
+        assert dict(small.dtypes)["x"] == dict(big.dtypes)["x"] == "bigint"
+    for k in (1, 4, 7):
+        small = global_ntile(df, k, "v", False, name="q", max_rows=2500)
+        big = global_ntile(df, k, "v", False, name="q", num_partitions=5)
+        assert as_map(small, "q") == as_map(big, "q"), k
+    plan = global_rank(df, "v", False, name="x", max_rows=2500)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "RangePartitioning" not in plan
+
+
+def test_unproven_or_large_bound_stays_distributed(spark):
+    from mercato.operators.windows import SINGLE_TASK_ROWS
+
+    df = skewed(spark, n=500)
+    for bound in (None, SINGLE_TASK_ROWS + 1):
+        plan = global_ntile(df, 4, "v", name="q", max_rows=bound)._jdf.queryExecution().executedPlan().toString()
+        assert "ntile(" not in plan  # no single-partition ntile window: the distributed form
+
+
+def test_reports_same_on_both_paths(spark, star):
+    from mercato.plans import reports
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    assert rows(reports.employee_ranking(star)) == rows(reports.employee_ranking(star, single_task_rows=0))
+    assert rows(reports.customer_segments(star, limit=None)) == rows(
+        reports.customer_segments(star, limit=None, single_task_rows=0)
+    )
