@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from mercato.functions.names import initial, trim_to_null
 from mercato.functions.products import allergy_flag, allergy_is_valid
@@ -411,23 +412,48 @@ def schema_violations(df: DataFrame, table: str | Table) -> DataFrame:
 def orphan_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """For every foreign key: rows whose non-null reference has no parent ``(table, column, parent, orphans)``.
 
-    The child is first reduced to its distinct key values with their row counts (a map-side combined
-    aggregation), so the anti-join sees one row per key, not one per sale, and a key holding a third
-    of all rows costs one row per task.
+    Each child table is read once, whatever its number of foreign keys: its references are exploded
+    into ``(fk index, key)`` pairs and counted per pair (a map-side combined aggregation, so a key
+    holding a third of all rows costs one row per task). One anti-join against the parent keys,
+    tagged with the index of the foreign key they serve, leaves the missing keys; their counts are
+    summed per foreign key in one global aggregate (one row per task before the single final step).
     """
     parts = []
     for name in TABLES:
-        for col, parent, pcol in TABLES[name].foreign_keys:
-            per_key = (
-                tables[name].filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("__fk")).agg(F.count(F.lit(1)).alias("__n"))
-            )
-            keys = tables[parent].select(F.col(pcol).alias("__pk"))
-            missing = per_key.join(keys, F.col("__fk") == F.col("__pk"), "left_anti")
-            parts.append(
-                missing.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("orphans")).select(
-                    F.lit(name).alias("table"), F.lit(col).alias("column"), F.lit(parent).alias("parent"), "orphans"
-                )
-            )
+        fks = TABLES[name].foreign_keys
+        if not fks:
+            continue
+        child = tables[name]
+        integral = all(isinstance(child.schema[c].dataType, IntegralType) for c, _, _ in fks)
+        key_type = "long" if integral else "string"
+        refs = F.inline(
+            F.array(*[F.struct(F.lit(i).alias("__i"), F.col(c).cast(key_type).alias("__fk")) for i, (c, _, _) in enumerate(fks)])
+        )
+        per_key = (
+            child.select(refs)
+            .filter(F.col("__fk").isNotNull())
+            .groupBy("__i", "__fk")
+            .agg(F.count(F.lit(1)).alias("__n"))
+        )
+        parent_keys = None
+        for i, (_, parent, pcol) in enumerate(fks):
+            k = tables[parent].select(F.lit(i).alias("__pi"), F.col(pcol).try_cast(key_type).alias("__pk"))
+            parent_keys = k if parent_keys is None else parent_keys.unionByName(k)
+        missing = per_key.join(
+            parent_keys, (F.col("__i") == F.col("__pi")) & (F.col("__fk") == F.col("__pk")), "left_anti"
+        )
+        sums = missing.agg(
+            *[F.coalesce(F.sum(F.when(F.col("__i") == i, F.col("__n"))), F.lit(0)).cast("long").alias(f"__o{i}")
+              for i in range(len(fks))]
+        )
+        rows = F.inline(
+            F.array(*[
+                F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(parent).alias("parent"),
+                         F.col(f"__o{i}").alias("orphans"))
+                for i, (c, parent, _) in enumerate(fks)
+            ])
+        )
+        parts.append(sums.select(rows))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
