@@ -375,21 +375,26 @@ def duplicate_keys(df: DataFrame, table: str | Table) -> DataFrame:
     """Primary-key and unique-key values held by more than one row: ``(table, constraint, key, n)``.
 
     Nulls are allowed (and not compared) in unique keys. Counting is a map-side combined
-    aggregation, so a hot key value costs one row per task.
+    aggregation on the typed key columns, so a hot key value costs one row per task; the key text
+    (values joined by ``|``) is built only for the duplicated keys.
     """
     t = TABLES[table] if isinstance(table, str) else table
     parts = []
     for kind, cols in [("primary_key", t.primary_key)] + [("unique", u) for u in t.unique]:
-        key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
         g = df
         if kind == "unique":
             for c in cols:
                 g = g.filter(F.col(c).isNotNull())
         parts.append(
-            g.groupBy(key.alias("key"))
+            g.groupBy(*cols)
             .agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") > 1)
-            .select(F.lit(t.name).alias("table"), F.lit(f"{kind}({','.join(cols)})").alias("constraint"), "key", "n")
+            .select(
+                F.lit(t.name).alias("table"),
+                F.lit(f"{kind}({','.join(cols)})").alias("constraint"),
+                F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("key"),
+                "n",
+            )
         )
     out = parts[0]
     for p in parts[1:]:
