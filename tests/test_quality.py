@@ -182,3 +182,16 @@ def test_command_line_validate_and_load(tmp, capsys, spark):
     assert main(["--master", "local[2]", "validate", tmp]) == 1
     text = capsys.readouterr().out
     assert "categories.csv: 1 problems" in text and "sales.csv: missing" in text
+
+
+def test_orphan_counts_read_the_fact_once(spark, star, tmp_path):
+    # three foreign keys on sales, one pass over it (no per-key re-scan of the fact table)
+    tables = star.as_dict()
+    path = str(tmp_path / "sales")
+    tables["sales"].write.parquet(path)
+    tables["sales"] = spark.read.parquet(path)
+    counts = quality.orphan_counts(tables)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [SalesID") == 1
+    got = {(r.table, r.column): r.orphans for r in counts.collect()}
+    assert got[("sales", "SalesPersonID")] == got[("sales", "CustomerID")] == got[("sales", "ProductID")] == 0
