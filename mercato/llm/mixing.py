@@ -196,9 +196,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     spans = spans.join(placed.select("source_ix", "at", "doc_id", "source", "text_hash", "size"), ["source_ix", "at"]).select(
         F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "__spans"
     )
-    keyed = docs.withColumn("__text_hash", F.xxhash64(text_or_empty(docs))).dropDuplicates(["doc_id", "source", "__text_hash"])
+    columns, keyed = docs.columns, docs.withColumn("__text_hash", F.xxhash64(text_or_empty(docs)))
+    if placed.groupBy("doc_id", "source", "text_hash").count().where("count > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["doc_id", "source", "__text_hash"])
     same = keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & keyed["source"].eqNullSafe(F.col("__source")) & (F.col("__text_hash") == F.col("__hash"))
-    taken = keyed.join(spans, same).select(*docs.columns, "__spans")
+    taken = keyed.join(spans, same).select(*columns, "__spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,8 +214,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
                     edges[0] = chunk.at[i]
                     parts = [chunk.data[edges[s["start"]] : edges[s["start"] + s["length"]]].tobytes() for s in spans[chunk.first + i]]
                     texts.append(b"".join(parts).decode("utf-8", "replace"))
-            columns = {c: batch.column(c) for c in docs.columns} | {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     out = taken.mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out
