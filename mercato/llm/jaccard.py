@@ -5,15 +5,16 @@ on distinct shingle sets:
 
 1. Screening. In a prefix-filter sense a document can lose at most a fifth of its shingles to a partner,
    so one with more shingles that no other document has is at a distance above EPS from everything and
-   leaves. The count needs a hashed sample of the shingles of long documents only.
+   leaves. The first count takes a hashed sample of long documents' shingles, the second, over what is
+   left, takes all.
 2. Regions. What is left is ordered by shingle frequency; two linked documents share a shingle of their
    prefixes, so the holders of a prefix shingle are a region whose documents may be near. Each region
    takes pivots, the document with the fewest shingles of its own first. Distances from documents to the
    pivots of their regions are computed exactly; a pivot's cell within EPS is linked by that alone.
 3. Recursion. A region whose documents are not yet all in one component joins again around new pivots.
    A document beyond a cell takes part in every region whose window it is in: with distances to the
-   region's first pivot that differ by more than EPS (triangle inequality), or sizes that differ by more
-   than a fifth, a document and a pivot are not compared. Regions end when one component or one document
+   region's first pivot that differ by more than EPS (triangle inequality), with sizes that differ by
+   more than a fifth, or with too many shingles of their own, a document and a pivot are not compared. Regions end when one component or one document
    is left, so every pair is compared, excluded by a proof, or connected already.
 
 Sets travel as sorted 64-bit hashes; a region of any size is salted over tasks, each with the pivot's set.
@@ -78,14 +79,23 @@ def _limit(share: float) -> np.uint64:
     return np.uint64(min(int(share * 2**64), 2**64 - 1))
 
 
-def screen(docs: DataFrame, ranges: int, share: float) -> DataFrame:
-    """Distinct sets (digest, n) that may have a partner.
+def screen(sets: DataFrame, ranges: int, share: float) -> DataFrame:
+    """Distinct sets (digest, n, alone) that may have a partner; ``sets`` has the column text, or tokens.
 
     A task posts its batch's shingles, once each, to ranges of hashes: 32 bits of the hash and the
     document, or none if the batch has it more than once. A range finds the shingles posted once in all
-    and returns their documents to their batches, where they are counted.
+    and returns their documents to their batches, where they are counted: alone. Of long documents only
+    a ``share`` of the shingles counts, so alone is a lower bound there if the share is below 1.
     """
     low = _limit(share)
+    ready = "tokens" in sets.columns
+
+    def of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        if ready:
+            yield from (np.frombuffer(x, "<u8") for x in batch.column("tokens").to_pylist())
+        else:
+            for chunk in chunks(batch.column("text")):
+                yield from shingle_sets(chunk)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch_id = TaskContext.get().partitionId() << 24
@@ -116,23 +126,22 @@ def screen(docs: DataFrame, ranges: int, share: float) -> DataFrame:
                 )
 
             seen_order: list[bytes] = []
-            for chunk in chunks(batch.column("text")):
-                for s in shingle_sets(chunk):
-                    if len(s) and (d := digest(s)) not in seen:
-                        seen.add(d)
-                        seen_order.append(d)
-                        n, who = len(s), len(sizes)
-                        sizes.append(n)
-                        own = s if n <= LONG else s[s < low]
-                        tokens.append(own)
-                        # between SHORT and LONG only sampled shingles count against the document
-                        counted = (own < low) if SHORT < n <= LONG else np.ones(len(own), bool)
-                        owners.append(np.where(counted, np.uint16(who), np.uint16(_NO_DOC)))
-                        if len(sizes) == _NO_DOC - 1:
-                            yield from rows(batch_id)
-                            batch_id += 1
-                            sizes, tokens, owners, seen_order = [], [], [], []
-                            seen = set()
+            for s in of(batch):
+                if len(s) and (d := digest(s)) not in seen:
+                    seen.add(d)
+                    seen_order.append(d)
+                    n, who = len(s), len(sizes)
+                    sizes.append(n)
+                    own = s if n <= LONG else s[s <= low]
+                    tokens.append(own)
+                    # between SHORT and LONG only sampled shingles count against the document
+                    counted = (own <= low) if SHORT < n <= LONG else np.ones(len(own), bool)
+                    owners.append(np.where(counted, np.uint16(who), np.uint16(_NO_DOC)))
+                    if len(sizes) == _NO_DOC - 1:
+                        yield from rows(batch_id)
+                        batch_id += 1
+                        sizes, tokens, owners, seen_order = [], [], [], []
+                        seen = set()
             yield from rows(batch_id)
             batch_id += 1
 
@@ -161,12 +170,12 @@ def screen(docs: DataFrame, ranges: int, share: float) -> DataFrame:
         for x in part["a"][~part["about"]]:
             alone += np.bincount(np.frombuffer(x, "<u2"), minlength=len(sizes))
         left = np.flatnonzero(alone <= allowed(sizes))
-        return pd.DataFrame({"digest": [about["b"][16 * i : 16 * i + 16] for i in left], "n": sizes[left]})
+        return pd.DataFrame({"digest": [about["b"][16 * i : 16 * i + 16] for i in left], "n": sizes[left], "alone": alone[left]})
 
-    posted = docs.select("text").mapInArrow(post, "range long, batch long, a binary, b binary")
+    posted = sets.select("tokens" if ready else "text").mapInArrow(post, "range long, batch long, a binary, b binary")
     told = posted.groupBy("range").applyInPandas(single, "batch long, a binary, b binary, about boolean")
-    kept = told.groupBy("batch").applyInPandas(decide, "digest binary, n long")
-    return kept.groupBy("digest").agg(F.first("n").alias("n"))
+    kept = told.groupBy("batch").applyInPandas(decide, "digest binary, n long, alone long")
+    return kept.groupBy("digest").agg(F.first("n").alias("n"), F.max("alone").alias("alone"))
 
 
 def read_sets(docs: DataFrame, left: DataFrame) -> DataFrame:
@@ -198,14 +207,14 @@ def covered(sets: DataFrame, share: float) -> bool:
         for part in parts:
             for tokens in part["tokens"]:
                 s = np.frombuffer(tokens, "<u8")
-                if (s < low).sum() <= allowed(len(s)):
+                if (s <= low).sum() <= allowed(len(s)):
                     yield pd.DataFrame({"n": [len(s)]})
 
     return sets.where(F.col("n") > SHORT).select("tokens").mapInPandas(short_of, "n long").limit(1).count() == 0
 
 
 def prefixes(sets: DataFrame, share: float) -> DataFrame:
-    """Prefix postings (region, c, n, alone): the rarest shared shingles of each set, as many as it can
+    """Prefix postings (region, c): the rarest shared shingles of each set, as many as it can
     lose and one more, not counting those that it shares with nobody."""
     low = _limit(share)
 
@@ -213,7 +222,7 @@ def prefixes(sets: DataFrame, share: float) -> DataFrame:
         for batch in batches:
             for c, tokens in zip(batch.column("c").to_pylist(), batch.column("tokens").to_pylist()):
                 s = np.frombuffer(tokens, "<u8")
-                for own, mark in ((s if len(s) <= LONG else s[:0], 1), (s[s < low] if len(s) > SHORT else s[:0], 0)):
+                for own, mark in ((s if len(s) <= LONG else s[:0], 1), (s[s <= low] if len(s) > SHORT else s[:0], 0)):
                     if len(own):
                         key = (own << np.uint64(1)) | np.uint64(mark)  # the two universes don't meet
                         k = len(own)
@@ -230,7 +239,7 @@ def prefixes(sets: DataFrame, share: float) -> DataFrame:
         "alone", F.col("posted") - F.count(F.lit(1)).over(own)
     )
     lose = F.floor(F.col("n") * (100 - PERCENT) / 100)
-    return ranked.where(F.col("rn") <= lose + 1 - F.col("alone")).select("region", "c", "n", "alone")
+    return ranked.where(F.col("rn") <= lose + 1 - F.col("alone")).select("region", "c")
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -279,41 +288,62 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _open(regions: DataFrame) -> DataFrame:
+    """What of ``regions`` (region, c, n, own, label, far) is still to be compared: members that could
+    link with the smallest member at best, in regions that have more than one component of them."""
+    least = regions.groupBy("region").agg(F.min("n").alias("__least"))
+    alive = regions.join(least, "region").where(_may_link(F.col("n"), F.col("own"), F.col("__least"), F.col("own"))).drop("__least")
+    mixed = alive.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("region")
+    return materialise(alive.join(mixed, "region", "left_semi"), "jaccard-open")
+
+
+def _may_link(n, own, m, other):
+    """Whether sets of ``n`` and ``m`` shingles can link, of which at most ``own`` and ``other`` are not theirs alone."""
+    return F.least(own, other) * (100 + PERCENT) >= (n + m) * PERCENT
+
+
 def link_sets(sets: DataFrame, share: float) -> DataFrame | None:
-    """(c, label) of the sets (c, n, tokens) that link with another; None if none does."""
+    """(c, label) of the sets (c, n, own, tokens) that link with another; None if none does."""
     if share < 1 and not covered(sets, share):
         share = 1.0
-    region_of = prefixes(sets, share).withColumn("label", F.col("c")).withColumn("far", F.lit(None).cast("double"))
-    some = F.count(F.lit(1)).over(Window.partitionBy("region"))
-    open_ = materialise(region_of.withColumn("k", some).where("k > 1").drop("k"), "jaccard-open")
+    posted = materialise(prefixes(sets, share), "jaccard-prefixes")
+    # regions with the same members make the same comparisons: one of them is enough
+    members = posted.groupBy("region").agg(
+        F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")
+    )
+    distinct = members.where("k > 1").groupBy("k", "x", "y").agg(F.min("region").alias("region")).select("region")
+    facts = materialise(sets.select("c", "n", "own"), "jaccard-facts")
+    regions = posted.join(distinct, "region", "left_semi").join(bounded(facts), "c")
+    open_ = _open(regions.withColumn("label", F.col("c")).withColumn("far", F.lit(None).cast("double")))
     links: DataFrame | None = None
     labels: DataFrame | None = None
     pivots, first = 1, True
     while open_.limit(1).count():
-        order = Window.partitionBy("region").orderBy("alone", "c")
+        # a document of few shingles of its own is central: many are near to it
+        order = Window.partitionBy("region").orderBy(F.col("n") - F.col("own"), "c")
         chosen = materialise(
-            open_.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots)
-            .select("region", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("far").alias("pf"), "k"),
+            open_.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select(
+                "region", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("own").alias("po"), F.col("label").alias("pl"), F.col("far").alias("pf"), "k"
+            ),
             "jaccard-pivots",
-        )
+        )
         near_in_size = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * PERCENT
         window = F.coalesce(F.abs(F.col("far") - F.col("pf")) <= EPS + 1e-9, F.lit(True))
-        met = open_.join(chosen, "region").where((F.col("c") != F.col("p")) & (F.col("label") != F.col("pl")) & near_in_size & window)
+        may = _may_link(F.col("n"), F.col("own"), F.col("pn"), F.col("po"))
+        met = open_.join(chosen, "region").where((F.col("c") != F.col("p")) & (F.col("label") != F.col("pl")) & near_in_size & window & may)
         measured = distances(met.select("p", "c").distinct(), sets)
         found = measured.where(F.col("both") * 100 >= F.col("either") * PERCENT).select("p", "c")
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        rest = open_.join(chosen.select("region", F.col("p").alias("c"), F.lit(True).alias("was")), ["region", "c"], "left").where("was is null").drop("was")
+        rest = open_.join(chosen.select("region", F.col("p").alias("c")), ["region", "c"], "left_anti")
         if first:  # the distance to the region's first pivot is what windows compare
             centre = chosen.where("k = 1").select("region", "p")
             apart = measured.select("p", "c", (1 - F.col("both") / F.col("either")).alias("d"))
             rest = rest.drop("far").join(centre, "region").join(apart, ["p", "c"], "left").withColumnRenamed("d", "far").drop("p")
         if labels is not None:
             rest = rest.drop("label").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        alike = Window.partitionBy("region")
-        rest = rest.withColumn("lo", F.min("label").over(alike)).withColumn("hi", F.max("label").over(alike)).where("lo <> hi")
-        open_ = materialise(rest.select("region", "c", "n", "alone", "label", "far"), "jaccard-open")
+        open_ = _open(rest.select("region", "c", "n", "own", "label", "far"))
         pivots, first = pivots * 4, False
     return labels
 
@@ -329,7 +359,8 @@ def near_duplicates(docs: DataFrame, share: float = SAMPLE) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    left = materialise(screen(rows, max(16, -(-chars // RANGE_CHARS)), share), "jaccard-left")
+    ranges = max(16, -(-chars // RANGE_CHARS))
+    left = materialise(screen(rows, ranges, share), "jaccard-left")
     all_docs = read_sets(rows, left)
     members = all_docs.select("doc_id", "n", "digest")
     # one set for each digest that is left: the row of least uid has it
@@ -339,6 +370,9 @@ def near_duplicates(docs: DataFrame, share: float = SAMPLE) -> DataFrame:
     sets = materialise(
         all_docs.where("tokens is not null").join(bounded(firsts), "uid").select(F.col("uid").alias("c"), "n", "digest", "tokens"), "jaccard-distinct"
     )
+    # the same screening again over what is left, by all shingles
+    near = materialise(screen(sets, ranges, 1.0), "jaccard-near").select("digest", (F.col("n") - F.col("alone")).alias("own"))
+    sets = materialise(sets.join(bounded(near), "digest"), "jaccard-candidates")
     labels = link_sets(sets, share)
     groups = members.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     if labels is None:
