@@ -44,6 +44,8 @@ SHORT, LONG = 256, 320
 SAMPLE = 0.4
 #: text characters for each range of hashes in the screening
 RANGE_CHARS = 20_000_000
+#: hashed segments of a pivot's shingles, by which the overlap of two of its neighbours is bounded
+SEGMENTS = 128
 #: members of a region for each task that compares them with its pivot
 REGION_TASK = 1000
 _NO_DOC = 0xFFFF
@@ -243,10 +245,11 @@ def prefixes(sets: DataFrame, share: float) -> DataFrame:
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact (p, c, both, either) of pairs of a pivot and a member: sizes of intersection and union."""
+    """Exact (p, c, both, either, parts) of pairs of a pivot and a member: sizes of intersection and union,
+    and how much of the intersection falls into each segment of hashes."""
     load = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("members"))
-    parts = F.ceil(F.col("members") / REGION_TASK)
-    salted = pairs.join(load, "p").select("p", "c", F.pmod(F.xxhash64("c"), parts).cast("int").alias("salt"))
+    tasks = F.ceil(F.col("members") / REGION_TASK)
+    salted = pairs.join(load, "p").select("p", "c", F.pmod(F.xxhash64("c"), tasks).cast("int").alias("salt"))
     salted = materialise(salted, "jaccard-pairs")
     held = sets.select("c", "tokens")
     members = held.join(bounded(salted), "c").select("p", "salt", F.lit(1).alias("kind"), "c", "tokens")
@@ -263,12 +266,17 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     pivot = s
                 else:
                     at = np.searchsorted(pivot, s)
-                    both = int((pivot[np.minimum(at, len(pivot) - 1)] == s).sum())
-                    out.append((p, c, both, len(s) + len(pivot) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 4)], names=["p", "c", "both", "either"])
+                    shared = s[pivot[np.minimum(at, len(pivot) - 1)] == s]
+                    both = len(shared)
+                    segment = ((shared * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(SEGMENTS)
+                    out.append((p, c, both, len(s) + len(pivot) - both, np.bincount(segment.astype(np.int64), minlength=SEGMENTS)))
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(x), k) for x, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["p", "c", "both", "either", "parts"]
+            )
 
     dealt = pivots.unionByName(members).repartition("p", "salt").sortWithinPartitions("p", "salt", "kind")
-    return materialise(dealt.select("p", "kind", "c", "tokens").mapInArrow(compare, "p long, c long, both long, either long"), "jaccard-distances")
+    return materialise(dealt.select("p", "kind", "c", "tokens").mapInArrow(compare, "p long, c long, both long, either long, parts array<int>"), "jaccard-distances")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -289,7 +297,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(regions: DataFrame) -> DataFrame:
-    """What of ``regions`` (region, c, n, own, label, far) is still to be compared: members that could
+    """What of ``regions`` (region, c, n, own, label, far, got, parts) is still to be compared: members that could
     link with the smallest member at best, in regions that have more than one component of them."""
     least = regions.groupBy("region").agg(F.min("n").alias("__least"))
     alive = regions.join(least, "region").where(_may_link(F.col("n"), F.col("own"), F.col("__least"), F.col("own"))).drop("__least")
@@ -302,6 +310,15 @@ def _may_link(n, own, m, other):
     return F.least(own, other) * (100 + PERCENT) >= (n + m) * PERCENT
 
 
+def _overlap():
+    """Whether a member and a pivot can overlap enough, as far as their overlaps with the region's first
+    pivot tell: inside it at most the smaller of both in each segment, outside it at most what the one
+    has there that is not its alone."""
+    inside = F.aggregate(F.zip_with("parts", "pp", lambda a, b: F.least(a, b)), F.lit(0), lambda t, x: t + x)
+    outside = F.least(F.col("own") - F.col("got"), F.col("po") - F.col("pg"))
+    return F.coalesce((inside + outside) * (100 + PERCENT) >= (F.col("n") + F.col("pn")) * PERCENT, F.lit(True))
+
+
 def link_sets(sets: DataFrame, share: float) -> DataFrame | None:
     """(c, label) of the sets (c, n, own, tokens) that link with another; None if none does."""
     if share < 1 and not covered(sets, share):
@@ -314,7 +331,8 @@ def link_sets(sets: DataFrame, share: float) -> DataFrame | None:
     distinct = members.where("k > 1").groupBy("k", "x", "y").agg(F.min("region").alias("region")).select("region")
     facts = materialise(sets.select("c", "n", "own"), "jaccard-facts")
     regions = posted.join(distinct, "region", "left_semi").join(bounded(facts), "c")
-    open_ = _open(regions.withColumn("label", F.col("c")).withColumn("far", F.lit(None).cast("double")))
+    unknown = {"label": F.col("c"), "far": F.lit(None).cast("double"), "got": F.lit(None).cast("long"), "parts": F.lit(None).cast("array<int>")}
+    open_ = _open(regions.withColumns(unknown))
     links: DataFrame | None = None
     labels: DataFrame | None = None
     pivots, first = 1, True
@@ -323,14 +341,15 @@ def link_sets(sets: DataFrame, share: float) -> DataFrame | None:
         order = Window.partitionBy("region").orderBy(F.col("n") - F.col("own"), "c")
         chosen = materialise(
             open_.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select(
-                "region", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("own").alias("po"), F.col("label").alias("pl"), F.col("far").alias("pf"), "k"
+                "region", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("own").alias("po"), F.col("label").alias("pl"), F.col("far").alias("pf"),
+                F.col("got").alias("pg"), F.col("parts").alias("pp"), "k",
             ),
             "jaccard-pivots",
         )
         near_in_size = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * PERCENT
         window = F.coalesce(F.abs(F.col("far") - F.col("pf")) <= EPS + 1e-9, F.lit(True))
         may = _may_link(F.col("n"), F.col("own"), F.col("pn"), F.col("po"))
-        met = open_.join(chosen, "region").where((F.col("c") != F.col("p")) & (F.col("label") != F.col("pl")) & near_in_size & window & may)
+        met = open_.join(chosen, "region").where((F.col("c") != F.col("p")) & (F.col("label") != F.col("pl")) & near_in_size & window & may & _overlap())
         measured = distances(met.select("p", "c").distinct(), sets)
         found = measured.where(F.col("both") * 100 >= F.col("either") * PERCENT).select("p", "c")
         if found.limit(1).count():
@@ -339,11 +358,11 @@ def link_sets(sets: DataFrame, share: float) -> DataFrame | None:
         rest = open_.join(chosen.select("region", F.col("p").alias("c")), ["region", "c"], "left_anti")
         if first:  # the distance to the region's first pivot is what windows compare
             centre = chosen.where("k = 1").select("region", "p")
-            apart = measured.select("p", "c", (1 - F.col("both") / F.col("either")).alias("d"))
-            rest = rest.drop("far").join(centre, "region").join(apart, ["p", "c"], "left").withColumnRenamed("d", "far").drop("p")
+            apart = measured.select("p", "c", (1 - F.col("both") / F.col("either")).alias("far"), F.col("both").alias("got"), "parts")
+            rest = rest.drop("far", "got", "parts").join(centre, "region").join(apart, ["p", "c"], "left").drop("p")
         if labels is not None:
             rest = rest.drop("label").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        open_ = _open(rest.select("region", "c", "n", "own", "label", "far"))
+        open_ = _open(rest.select("region", "c", "n", "own", "label", "far", "got", "parts"))
         pivots, first = pivots * 4, False
     return labels
 
