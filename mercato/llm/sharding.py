@@ -8,7 +8,8 @@ Differencing is sequential, so it runs in blocks: groups are dealt by hash into
 task differences its groups into BUNDLES bundles of nearly equal size, and the bundles are the
 indivisible items of the next round, until one block is left, which is differenced into the shards.
 A group larger than its block's other bundles stays a bundle of its own, so the last round still
-balances it against everything else. No task ever holds more than about a block.
+balances it against everything else; a hashed half block of single groups joins only there, as small
+change. No task ever holds more than about two blocks.
 """
 
 from __future__ import annotations
@@ -70,6 +71,10 @@ def assign_bins(groups: DataFrame, bins: int, block_items: int = BLOCK_ITEMS, bu
     items = groups.select("item", "size")
     levels: list[DataFrame] = []
     n = items.count()
+    loose = items.limit(0)
+    if n > block_items:  # about half a block of single groups wait for the last round, to even it out
+        share = F.pmod(F.xxhash64("item", F.lit("loose")), F.lit(1 << 40)) < int((1 << 40) * (block_items / 2) / n)
+        loose, items = items.where(share), items.where(~share)
     while n > block_items:
         blocks = -(-n // (block_items // 2))
         dealt = items.withColumn("block", F.pmod(F.xxhash64("item", F.lit(len(levels))), F.lit(blocks)))
@@ -89,12 +94,16 @@ def assign_bins(groups: DataFrame, bins: int, block_items: int = BLOCK_ITEMS, bu
             break
         n = m
     out = (
-        items.groupBy().applyInPandas(lambda part: _differ(part, bins), "item binary, size long, bin long")
+        items.unionByName(loose).groupBy().applyInPandas(lambda part: _differ(part, bins), "item binary, size long, bin long")
         .select("item", F.col("bin").alias("shard"))
     )
+    if not levels:
+        return out
+    out = materialise(out, "last-round")
+    singles = out.join(loose.select("item"), "item", "left_semi")
     for level in reversed(levels):
         out = level.join(out.withColumnRenamed("item", "bundle"), "bundle").select("item", "shard")
-    return out
+    return out.unionByName(singles)
 
 
 def balanced_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
