@@ -193,7 +193,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     not in a mix. Of rows that repeat doc_id, source and text, the first takes the words of all."""
     placed, pieces = mix_sources(docs)
     spans = pieces.groupBy("source_ix", "at", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__spans"))
-    spans = spans.join(placed.select("source_ix", "at", "doc_id", "source", "text_hash", "size"), ["source_ix", "at"]).select(
+    spans = spans.join(placed.where("size > 0").select("source_ix", "at", "doc_id", "source", "text_hash", "size"), ["source_ix", "at"]).select(
         F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "__spans"
     )
     columns, keyed = docs.columns, docs.withColumn("__text_hash", F.xxhash64(text_or_empty(docs)))
