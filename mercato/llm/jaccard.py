@@ -46,6 +46,8 @@ SAMPLE = 0.4
 RANGE_CHARS = 20_000_000
 #: hashed segments of a pivot's shingles, by which the overlap of two of its neighbours is bounded
 SEGMENTS = 128
+#: shingles that a task posts together, to keep its memory small
+POSTED_AT_ONCE = 500_000
 #: members of a region for each task that compares them with its pivot
 REGION_TASK = 1000
 _NO_DOC = 0xFFFF
@@ -128,6 +130,7 @@ def screen(sets: DataFrame, ranges: int, share: float) -> DataFrame:
                 )
 
             seen_order: list[bytes] = []
+            held = 0
             for s in of(batch):
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
@@ -139,11 +142,12 @@ def screen(sets: DataFrame, ranges: int, share: float) -> DataFrame:
                     # between SHORT and LONG only sampled shingles count against the document
                     counted = (own <= low) if SHORT < n <= LONG else np.ones(len(own), bool)
                     owners.append(np.where(counted, np.uint16(who), np.uint16(_NO_DOC)))
-                    if len(sizes) == _NO_DOC - 1:
+                    held += len(own)
+                    if held >= POSTED_AT_ONCE or len(sizes) == _NO_DOC - 1:
                         yield from rows(batch_id)
                         batch_id += 1
                         sizes, tokens, owners, seen_order = [], [], [], []
-                        seen = set()
+                        seen, held = set(), 0
             yield from rows(batch_id)
             batch_id += 1
 

@@ -90,13 +90,24 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
             )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        # flat arrays: a list of many small ones would take a multiple of their memory
+        flat, ends, labels, docs_with = [], [], [], np.zeros(1 << BITS, np.int32)
         for batch in batches:
-            rows += [(y, np.frombuffer(p, "<u4")) for y, p in zip(batch.column("y").to_pylist(), batch.column("present").to_pylist())]
-        docs_with = np.zeros(1 << BITS, np.int32)
-        for _, present in rows:
-            docs_with[present] += 1
-        rows = [(y, present[docs_with[present] >= LEAST_DOCS]) for y, present in rows]
+            column = batch.column("present")
+            at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
+            present = np.frombuffer(column.buffers()[2], "<u4")[at[0] : at[-1]].copy() if len(column) and at[-1] > at[0] else np.zeros(0, "<u4")
+            np.add.at(docs_with, present, 1)
+            flat.append(present)
+            ends.append(at - at[0])
+            labels += batch.column("y").to_pylist()
+        rows = []
+        while flat:
+            present, at = flat.pop(0), ends.pop(0)
+            often = docs_with[present] >= LEAST_DOCS
+            kept = np.append(0, np.cumsum(often))[at]
+            present = present[often]
+            rows += [present[kept[i] : kept[i + 1]] for i in range(len(kept) - 1)]
+        rows = list(zip(labels, rows))
         weights, intercept = ftrl(rows, 1 << BITS)
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays(
