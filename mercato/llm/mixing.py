@@ -173,7 +173,7 @@ def mix_sources(
     placed, per = mixed_sources(docs)
     pieces = block_pieces(placed.select("source_ix", "doc_id", "size", "at"), block_words)
     drawn = slots(docs.sparkSession, per, block_words, shard_slots, seed)
-    return placed, drawn.join(pieces, ["source_ix", "block"]).select(
+    return placed, drawn.join(pieces.hint("merge"), ["source_ix", "block"]).select(
         "shard", "epoch", "source_ix", "block", "at", "doc_id", "start", "length"
     )
 
