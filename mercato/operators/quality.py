@@ -207,9 +207,12 @@ REQUIRED = {
 
 
 def _decimals_in_text(c: Column) -> Column:
-    """Number of digits after the point as written (``1.50000`` has 5)."""
-    t = F.trim(c)
-    return F.when(t.contains("."), F.length(F.substring_index(t, ".", -1))).otherwise(F.lit(0))
+    """Number of digits after the point as written (``1.50000`` has 5, ``1e-7`` has 7)."""
+    t = F.lower(F.trim(c))
+    digits = F.substring_index(t, "e", 1)
+    written = F.when(digits.contains("."), F.length(F.substring_index(digits, ".", -1))).otherwise(F.lit(0))
+    exponent = F.when(t.contains("e"), F.coalesce(F.substring_index(t, "e", -1).try_cast("int"), F.lit(0))).otherwise(F.lit(0))
+    return F.greatest(written - exponent, F.lit(0))
 
 
 def typed_columns(table: str) -> dict[str, Column]:
@@ -230,7 +233,7 @@ def typed_columns(table: str) -> dict[str, Column]:
             out[name] = F.trim(src).try_cast(dt)
         elif name == "MiddleInitial":
             out[name] = initial(src)
-        elif name in ("FirstName", "LastName", "ProductName", "CategoryName", "CityName", "CountryName"):
+        elif name in ("FirstName", "LastName", "ProductName", "CategoryName", "CityName", "CountryName", "Zipcode", "CountryCode"):
             out[name] = F.trim(src)
         elif name in ("Class", "Resistant", "Gender", "Address", "TransactionNumber"):
             out[name] = trim_to_null(src)
@@ -274,7 +277,7 @@ def entity_rules(table: str, level: str = "conform") -> list[Rule]:
     if table == "sales":
         q = typed["Quantity"]
         rules.append(Rule("Quantity", "quantity_positive", q.isNotNull() & (q <= 0), "quantity must be a positive integer"))
-        d = typed["Discount"]
+        d = F.trim(F.col("Discount")).try_cast("double")  # the sign as written, before rounding to two decimals
         rules.append(Rule("Discount", "discount_non_negative", d.isNotNull() & (d < 0), "discount cannot be negative"))
     if level == "strict":
         rules += _strict_rules(table, typed)

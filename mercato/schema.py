@@ -119,7 +119,7 @@ PRODUCTS = Table(
         Col("ModifyDate", TIME_US),
         Col("Resistant", StringType(), False, 45),
         Col("IsAllergic", StringType(), False, 10),
-        Col("VitalityDays", DecimalType(3, 0)),
+        Col("VitalityDays", DecimalType(4, 0)),  # the rule allows up to 3650
     ),
     primary_key=("ProductID",),
     foreign_keys=(("CategoryID", "categories", "CategoryID"),),

@@ -40,7 +40,7 @@ def read_text_csv(
     used); without it the header names the columns. Raises :class:`MissingFile` when nothing exists
     at ``path``.
     """
-    reader = spark.read.option("sep", ",").option("quote", '"').option("encoding", "UTF-8").option("header", header)
+    reader = spark.read.option("sep", ",").option("quote", '"').option("escape", '"').option("encoding", "UTF-8").option("header", header)
     reader = reader.option("mode", "PERMISSIVE").option("nullValue", None).option("emptyValue", "")
     try:
         if columns is not None:

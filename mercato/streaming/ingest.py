@@ -9,7 +9,6 @@ give the same files to the re-run).
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mercato.operators.quality import check_error_rate, conform
 from mercato.schema import TABLES
-from mercato.session import ensure_checkpoint_dir
 from mercato.sources.csv import NULL_TOKENS, file_columns, text_schema
 
 
@@ -52,17 +50,18 @@ def start_csv_ingest(
     """Start loading the CSV files of ``table`` that appear in ``source_dir``.
 
     ``available_now`` processes what is there and stops (scheduled loads); otherwise the query keeps
-    running. The streaming checkpoint defaults to a folder under ``spark.checkpoint.dir``.
+    running. The streaming checkpoint defaults to
+    ``<out_path>_checkpoint``, so a restart in another application goes on where the last one ended.
     """
     t = TABLES[table]
     if checkpoint_location is None:
-        base = ensure_checkpoint_dir(spark)
-        checkpoint_location = os.path.join(base, f"ingest-{table}")
+        checkpoint_location = f"{out_path.rstrip('/')}_checkpoint"
     reader = (
         spark.readStream.schema(text_schema(file_columns(t)))
         .option("header", True)
         .option("sep", ",")
         .option("quote", '"')
+        .option("escape", '"')
         .option("encoding", "UTF-8")
     )
     if max_files_per_trigger:
