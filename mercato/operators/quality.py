@@ -22,7 +22,7 @@ from mercato.functions.names import initial, trim_to_null
 from mercato.functions.products import allergy_flag, allergy_is_valid
 from mercato.functions.temporal import date_prefix, mmss_micros, time_micros
 from mercato.operators.joins import orphans
-from mercato.schema import EXPECTED_ROWS, TABLES, Table
+from mercato.schema import EXPECTED_ROWS, SURPLUS, TABLES, Table
 
 REPORT_COLUMNS = ["table", "key", "column", "value", "rule", "message"]
 
@@ -149,7 +149,14 @@ def validate_text(df: DataFrame, file_name: str) -> DataFrame:
         if required:
             rules.append(Rule(col, "required", c.isNull(), f"required value of '{col}' is empty"))
         rules.append(Rule(col, "type", c.isNotNull() & ~type_ok(kind, c), f"value of '{col}' is not of type '{kind}'"))
-    return violations(df, file_name, F.col(expected[0]), rules)
+    return violations(df, file_name, F.col(expected[0]), rules + _surplus_rule(df))
+
+
+def _surplus_rule(df: DataFrame) -> list[Rule]:
+    """Rows with more fields than the file has columns, where ``df`` has the first of them."""
+    if SURPLUS not in df.columns:
+        return []
+    return [Rule(SURPLUS, "malformed_row", F.col(SURPLUS).isNotNull(), "more fields than columns")]
 
 
 def validate_file(spark, path: str, file_name: str) -> DataFrame:
@@ -158,7 +165,7 @@ def validate_file(spark, path: str, file_name: str) -> DataFrame:
     from mercato.sources.csv import MissingFile, read_text_csv
 
     try:
-        df = read_text_csv(spark, path)
+        df = read_text_csv(spark, path, (*read_text_csv(spark, path).columns, SURPLUS))
     except MissingFile:
         return spark.createDataFrame(
             [(file_name, None, None, path, "missing_file", "file not found")],
@@ -318,18 +325,21 @@ def _strict_rules(table: str, typed: dict[str, Column]) -> list[Rule]:
 
 
 def conform(text_df: DataFrame, table: str, level: str = "conform") -> DataFrame:
-    """Typed columns of ``table`` plus ``errors`` (array of violated rule names, empty when clean).
+    """Typed columns of ``table`` plus ``errors`` (array of violated rule names, empty when clean) and
+    ``raw``, the text columns as read where there are errors, so that rejects can be mended.
 
-    ``text_df`` holds the table's columns as text (see :func:`mercato.sources.csv.read_table_csv`).
+    ``text_df`` holds the table's columns as text (see :func:`mercato.sources.csv.read_table_csv`) and
+    may have a row's first surplus field.
     """
-    rules = entity_rules(table, level)
+    rules = entity_rules(table, level) + _surplus_rule(text_df)
     errs = F.filter(
         F.array(*[F.when(r.bad, F.lit(f"{r.column}:{r.rule}")) for r in rules]), lambda x: x.isNotNull()
     )
     typed = typed_columns(table)
     extra = [F.col("IsAllergic").alias("IsAllergic")] if table == "products" else []
     cols = [typed[c].alias(c) for c in TABLES[table].column_names if not (table == "products" and c == "IsAllergic")]
-    return text_df.select(*cols, *extra, errs.alias("errors"))
+    raw = F.when(F.size(errs) > 0, F.struct(*text_df.columns)).alias("raw")
+    return text_df.select(*cols, *extra, errs.alias("errors"), raw)
 
 
 def allergy_column(df: DataFrame) -> DataFrame:
@@ -363,12 +373,12 @@ def load_csv_table(spark, csv_path: str, table: str, out_path: str, level: str =
     """
     from mercato.sources.csv import read_table_csv
 
-    flagged = conform(read_table_csv(spark, csv_path, table), table, level)
+    flagged = conform(read_table_csv(spark, csv_path, table, surplus=True), table, level)
     staging = out_path.rstrip("/") + "_staging"
     flagged.write.mode("overwrite").parquet(staging)
     staged = spark.read.parquet(staging)
     bad, n = check_error_rate(staged, max_fraction)
-    staged.filter(F.size("errors") == 0).drop("errors").write.mode("overwrite").parquet(out_path)
+    staged.filter(F.size("errors") == 0).drop("errors", "raw").write.mode("overwrite").parquet(out_path)
     staged.filter(F.size("errors") > 0).write.mode("overwrite").parquet(out_path.rstrip("/") + "_rejects")
     return {"table": table, "rows": n, "rejected": bad}
 

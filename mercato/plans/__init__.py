@@ -12,10 +12,9 @@ from mercato.plans.reports import (
     sales_detail_view,
     top_products_by_category,
 )
-from mercato.plans.spec import QuerySpec, run_spec
+from mercato.plans.spec import run_spec
 
 __all__ = [
-    "QuerySpec",
     "city_staff",
     "customer_segments",
     "employee_product_summary",

@@ -43,8 +43,8 @@ ORACLE_SQL: dict[str, str] = dict(duckdb_sql.QUERIES)
 import datetime as _dt  # noqa: E402
 
 from mercato.operators import quality  # noqa: E402
-from mercato.plans import enrich  # noqa: E402
-from mercato.plans.spec import QuerySpec, run_spec  # noqa: E402
+from mercato.plans import dirty, dirty_sql, enrich  # noqa: E402
+from mercato.plans.spec import run_spec  # noqa: E402
 from mercato.sources.star import read_table  # noqa: E402
 
 SERVICE_AS_OF = _dt.date(2025, 5, 30)
@@ -66,36 +66,38 @@ def _schema_violations(star):
     return out
 
 
-SPEC_CITY_STAFF = (
-    QuerySpec().select("EmployeeID", "FirstName", "LastName", "HireDate").from_("employees")
-    .where(f"CityID = {duckdb_sql.R8_CITY}").order_by("HireDate", "DESC").order_by("EmployeeID").limit(5)
-)
-SPEC_SALES_BY_CATEGORY = (
-    QuerySpec()
-    .select("c.CategoryName as Categoria", "p.ProductName as Producto", "SUM(s.Quantity) as TotalVendido")
-    .from_("sales s").join("products p", "s.ProductID = p.ProductID").join("categories c", "p.CategoryID = c.CategoryID")
-    .group_by("c.CategoryName", "p.ProductName")
-    .order_by("Categoria", "ASC").order_by("TotalVendido", "DESC").order_by("Producto").limit(10)
-)
-SPEC_CATEGORY_PRICES = (
-    QuerySpec()
-    .select("c.CategoryName as Categoria", "COUNT(*) as total", "ROUND(AVG(p.Price), 2) as precio_promedio")
-    .from_("products p").join("categories c", "p.CategoryID = c.CategoryID")
-    .where("p.Price > 950").where("p.Class = 'High'")
-    .group_by("c.CategoryName").having("COUNT(*) > 5")
-    .order_by("precio_promedio", "DESC").order_by("Categoria").limit(10)
-)
-SPEC_SELLERS_LEFT_JOIN = (
-    QuerySpec()
-    .select("e.EmployeeID as EmployeeID", "COUNT(s.SalesID) as ventas", "SUM(s.Quantity) as unidades")
-    .from_("employees e").left_join("sales s", "s.SalesPersonID = e.EmployeeID")
-    .group_by("e.EmployeeID").having("ventas >= 0")
-)
-
-
-def _spec_query(spec: QuerySpec) -> Query:
+SPEC_CITY_STAFF = {
+    "select": ["EmployeeID", "FirstName", "LastName", "HireDate"], "from": "employees",
+    "where": [f"CityID = {duckdb_sql.R8_CITY}"], "order_by": ["HireDate DESC", "EmployeeID"], "limit": 5,
+}
+SPEC_SALES_BY_CATEGORY = {
+    "select": ["c.CategoryName as Categoria", "p.ProductName as Producto", "SUM(s.Quantity) as TotalVendido"],
+    "from": "sales s", "joins": [("products p", "s.ProductID = p.ProductID"), ("categories c", "p.CategoryID = c.CategoryID")],
+    "group_by": ["c.CategoryName", "p.ProductName"], "order_by": ["Categoria ASC", "TotalVendido DESC", "Producto"], "limit": 10,
+}
+SPEC_CATEGORY_PRICES = {
+    "select": ["c.CategoryName as Categoria", "COUNT(*) as total", "ROUND(AVG(p.Price), 2) as precio_promedio"],
+    "from": "products p", "joins": [("categories c", "p.CategoryID = c.CategoryID")],
+    "where": ["p.Price > 950", "p.Class = 'High'"], "group_by": ["c.CategoryName"], "having": ["COUNT(*) > 5"],
+    "order_by": ["precio_promedio DESC", "Categoria"], "limit": 10,
+}
+SPEC_SELLERS_LEFT_JOIN = {
+    "select": ["e.EmployeeID as EmployeeID", "COUNT(s.SalesID) as ventas", "SUM(s.Quantity) as unidades"],
+    "from": "employees e", "joins": [("sales s", "s.SalesPersonID = e.EmployeeID", "LEFT")],
+    "group_by": ["e.EmployeeID"], "having": ["ventas >= 0"],
+}
+# a name beyond ASCII, bound values, HAVING on an output name and an aggregate
+SPEC_BOUND_VALUES = {
+    "select": ["c.CategoryName as Categoría", "p.ProductName as Producto", "SUM(s.Quantity) as TotalVendido"],
+    "from": "sales s", "joins": [("products p", "s.ProductID = p.ProductID"), ("categories c", "p.CategoryID = c.CategoryID")],
+    "where": ["p.Price > :price"], "group_by": ["c.CategoryName", "p.ProductName"], "having": ["TotalVendido > :units AND COUNT(*) > 1"],
+    "order_by": ["TotalVendido DESC", "Categoría", "Producto"], "limit": 20,
+}
+
+
+def _spec_query(spec: dict, params: dict | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run_spec(load_star(spark, sf_dir).as_dict(), spec)
+        return run_spec(load_star(spark, sf_dir).as_dict(), spec, params)
 
     return run
 
@@ -116,7 +118,19 @@ QUERIES.update(
         "r1_spec_sellers_left_join": _spec_query(SPEC_SELLERS_LEFT_JOIN),
     }
 )
-ORACLE_SQL = dict(duckdb_sql.QUERIES)
+QUERIES.update(
+    {
+        "q2_q3_validator": _star_query(dirty.validator),
+        "q5_error_summary": _star_query(dirty.validator_summary),
+        "q6_q16_conform": _star_query(dirty.conformed_products),
+        "q6_q16_strict": _star_query(dirty.strict_products),
+        "q18_schema_violations_dirty": _star_query(dirty.customer_schema_violations),
+        "q21_orphan_counts_cut_parents": _star_query(dirty.cut_parent_orphans),
+        "r7_cheapest_products": _star_query(reports.price_list, max_price=1000, ascending=True, limit=3),
+        "r1_spec_bound_values": _spec_query(SPEC_BOUND_VALUES, {"price": 950, "units": 100}),
+    }
+)
+ORACLE_SQL.update(dirty_sql.QUERIES)
 
 SPOT_PRODUCTS = [1, 2, 3, 4, 5]
 

@@ -1,172 +1,75 @@
-"""Queries given as a specification: select, from, joins, where, group by, having, order, limit.
-
-A fluent builder collects the clauses; :func:`run_spec` turns them into DataFrame operations
-(``alias``/``join``/``filter``/``groupBy().agg``/``orderBy``/``limit``), each clause parsed by Spark
-as a column expression. No SQL text is assembled, so Catalyst sees the same plan as hand-written
-DataFrame code (filters pushed to the scan, columns pruned).
-
-The Spanish method names of the original builder are kept as aliases.
+"""Queries given as plain data: a mapping of clauses, run by Spark SQL over named DataFrames.
+
+    run_spec(tables, {
+        "select": ["c.CategoryName as Categoría", "SUM(s.Quantity) as Total"],
+        "from": "sales s",
+        "joins": [("categories c", "s.CategoryID = c.CategoryID")],
+        "where": ["s.Quantity > :least"],
+        "group_by": ["c.CategoryName"], "having": ["Total > 10 AND COUNT(*) > 1"],
+        "order_by": ["Total DESC"], "limit": 10,
+    }, {"least": 2})
+
+Spark's parser and analyzer place every clause, so HAVING takes output names, aggregates or
+both, and ORDER BY an aggregate too (beside HAVING: its output name); values come as bind parameters.
+The tables are temporary views while the text is analysed, and Catalyst sees the plan that
+hand-written DataFrame code has.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-_STRINGS = re.compile(r"'(?:[^']|'')*'")
-_IDENT = re.compile(r"(?<![\w.`])`?([A-Za-z_][A-Za-z0-9_]*)`?(?![\w.(])")
-
-# Join types accepted by Spark, as written by users (a cross join needs no spec: it is refused).
-_JOIN_TYPES = {
-    "INNER": "inner",
-    "LEFT": "left",
-    "LEFT OUTER": "left",
-    "RIGHT": "right",
-    "RIGHT OUTER": "right",
-    "FULL": "full",
-    "FULL OUTER": "full",
-    "OUTER": "full",
-    "LEFT SEMI": "left_semi",
-    "SEMI": "left_semi",
-    "LEFT ANTI": "left_anti",
-    "ANTI": "left_anti",
-}
-
-
-@dataclass
-class QuerySpec:
-    select_items: list[str] = field(default_factory=list)
-    from_table: str = ""
-    joins: list[tuple[str, str, str]] = field(default_factory=list)  # (table [alias], condition, type)
-    where_items: list[str] = field(default_factory=list)
-    group_items: list[str] = field(default_factory=list)
-    having_items: list[str] = field(default_factory=list)
-    order_items: list[tuple[str, str]] = field(default_factory=list)
-    limit_value: int | None = None
-
-    # -- builder -------------------------------------------------------------------------------
-    def reset(self) -> "QuerySpec":
-        self.__init__()
-        return self
-
-    def select(self, *items: str) -> "QuerySpec":
-        self.select_items.extend(items)
-        return self
-
-    def from_(self, table: str) -> "QuerySpec":
-        self.from_table = table
-        return self
-
-    def join(self, table: str, condition: str, how: str = "INNER") -> "QuerySpec":
-        if how.strip().upper() not in _JOIN_TYPES:
-            raise ValueError(f"join type {how!r} is not supported; use one of {sorted(_JOIN_TYPES)}")
-        self.joins.append((table, condition, how))
-        return self
-
-    def left_join(self, table: str, condition: str) -> "QuerySpec":
-        return self.join(table, condition, "LEFT")
-
-    def where(self, condition: str) -> "QuerySpec":
-        self.where_items.append(condition)
-        return self
-
-    def group_by(self, *items: str) -> "QuerySpec":
-        self.group_items.extend(items)
-        return self
-
-    def having(self, condition: str) -> "QuerySpec":
-        self.having_items.append(condition)
-        return self
-
-    def order_by(self, item: str, direction: str = "ASC") -> "QuerySpec":
-        d = direction.strip().upper()
-        if d not in ("ASC", "DESC"):
-            raise ValueError("direction must be ASC or DESC")
-        self.order_items.append((item, d))
-        return self
-
-    def limit(self, n: int) -> "QuerySpec":
-        if n is not None and int(n) < 0:
-            raise ValueError("limit must be >= 0")
-        self.limit_value = None if n is None else int(n)
-        return self
-
-    def validate(self) -> None:
-        if not self.select_items or not self.from_table:
-            raise ValueError("SELECT and FROM are required to build a query.")
-
-    def run(self, tables: dict[str, DataFrame]) -> DataFrame:
-        return run_spec(tables, self)
-
-    # -- names of the original builder -----------------------------------------------------------
-    reiniciar = reset
-    seleccionar = select
-    desde_tabla = from_
-    unir = join
-    unir_izquierda = left_join
-    donde = where
-    agrupar_por = group_by
-    habiendo = having
-    ordenar_por = order_by
-    limite = limit
-    ejecutar = run
-
-
-def _table(tables: dict[str, DataFrame], ref: str) -> DataFrame:
-    parts = ref.split()
-    if len(parts) == 3 and parts[1].upper() == "AS":
-        parts = [parts[0], parts[2]]
-    if len(parts) not in (1, 2):
-        raise ValueError(f"bad table reference {ref!r}; use 'name' or 'name alias'")
-    name, alias = parts[0], parts[-1]
-    lookup = {k.lower(): v for k, v in tables.items()}
-    if name.lower() not in lookup:
-        raise ValueError(f"unknown table {name!r}")
-    return lookup[name.lower()].alias(alias)
-
-
-def run_spec(tables: dict[str, DataFrame], spec: QuerySpec) -> DataFrame:
-    """Run a :class:`QuerySpec` over named DataFrames (``{"sales": df, ...}``)."""
-    spec.validate()
-    df = _table(tables, spec.from_table)
-    for ref, cond, how in spec.joins:
-        df = df.join(_table(tables, ref), F.expr(cond), _JOIN_TYPES[how.strip().upper()])
-    for cond in spec.where_items:
-        df = df.filter(F.expr(cond))
-
-    items = [F.expr(s) for s in spec.select_items]
-    if spec.group_items:
-        keys = [F.expr(g) for g in spec.group_items]
-        outputs = {c.lower() for c in df.groupBy(*keys).agg(*items).columns}
-        inputs = {c.lower() for c in df.columns}
-        hidden: list[Column] = []
-        late: list[str] = []
-        for i, h in enumerate(spec.having_items):
-            names = {t.lower() for t in _IDENT.findall(_STRINGS.sub("", h))}
-            if names & (outputs - inputs):
-                late.append(h)  # refers to output names: filter after the projection
-            else:
-                hidden.append(F.expr(h).alias(f"__having_{i}"))  # aggregate predicate
-        grouped = df.groupBy(*keys).agg(*items, *hidden)
-        n_keys, n_items = len(keys), len(items)
-        names = grouped.columns
-        tmp = [f"__c{i}" for i in range(len(names))]
-        g = grouped.toDF(*tmp)
-        for i in range(len(hidden)):
-            g = g.filter(F.col(tmp[n_keys + n_items + i]))
-        out = g.select(*[F.col(tmp[n_keys + j]).alias(names[n_keys + j]) for j in range(n_items)])
-        for h in late:
-            out = out.filter(F.expr(h))
-    else:
-        out = df.select(*items)
-        for h in spec.having_items:
-            out = out.filter(F.expr(h))
-
-    if spec.order_items:
-        out = out.orderBy(*[F.expr(e).desc() if d == "DESC" else F.expr(e).asc() for e, d in spec.order_items])
-    if spec.limit_value is not None:
-        out = out.limit(spec.limit_value)
-    return out
+from collections.abc import Mapping
+from typing import Any
+
+from pyspark.sql import DataFrame
+
+CLAUSES = ("select", "from", "joins", "where", "group_by", "having", "order_by", "limit")
+# no cross join: a specification always says how tables meet
+JOINS = ("INNER", "LEFT", "LEFT OUTER", "RIGHT", "RIGHT OUTER", "FULL", "FULL OUTER", "LEFT SEMI", "LEFT ANTI")
+
+_QUOTED = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)""")
+
+
+def _sql(text: str) -> str:
+    """``text`` with names beyond ASCII in backquotes, as Spark wants them, and braces kept as they are."""
+    parts = _QUOTED.split(text)  # odd places are quoted already
+    parts[::2] = [re.sub(r"\w+", lambda m: m[0] if m[0].isascii() else f"`{m[0]}`", p) for p in parts[::2]]
+    return "".join(parts).replace("{", "{{").replace("}", "}}")
+
+
+def run_spec(tables: Mapping[str, DataFrame], spec: Mapping[str, Any], params: Mapping[str, Any] | None = None) -> DataFrame:
+    """Run ``spec`` over ``tables`` (``{"sales": df, ...}``; names in any case).
+
+    ``select`` and ``from`` are required. A join is ``(table, condition)`` or ``(table, condition,
+    type)``; conditions of a list hold together; ``order_by`` items may end in ASC or DESC. ``params``
+    are the values of ``:name`` markers.
+    """
+    unknown = set(spec) - set(CLAUSES)
+    if unknown:
+        raise ValueError(f"unknown clauses {sorted(unknown)}; known are {CLAUSES}")
+    if not spec.get("select") or not spec.get("from"):
+        raise ValueError("a specification needs 'select' and 'from'")
+    frames = {f"table_{name.lower()}": df for name, df in tables.items()}
+
+    def table(ref: str) -> str:
+        name, _, alias = ref.strip().partition(" ")
+        if f"table_{name.lower()}" not in frames:
+            raise ValueError(f"unknown table {name!r}")
+        return f"{{table_{name.lower()}}} {_sql(alias.strip() or name)}"
+
+    lines = ["SELECT " + ", ".join(map(_sql, spec["select"])), "FROM " + table(spec["from"])]
+    for ref, condition, *how in spec.get("joins", ()):
+        kind = " ".join(how).upper() or "INNER"
+        if kind not in JOINS:
+            raise ValueError(f"join type {kind!r} is not supported; use one of {JOINS}")
+        lines.append(f"{kind} JOIN {table(ref)} ON {_sql(condition)}")
+    for word, clause, between in (("WHERE", "where", " AND "), ("GROUP BY", "group_by", ", "), ("HAVING", "having", " AND "), ("ORDER BY", "order_by", ", ")):
+        items = [_sql(x) for x in spec.get(clause, ())]
+        if items:
+            lines.append(f"{word} " + between.join(f"({x})" if between == " AND " else x for x in items))
+    if spec.get("limit") is not None:
+        lines.append(f"LIMIT {int(spec['limit'])}")
+    text = "\n".join(lines)
+    used = {k: v for k, v in frames.items() if f"{{{k}}}" in text}
+    spark = next(iter(frames.values())).sparkSession
+    return spark.sql(text, args=dict(params) if params else None, **used)

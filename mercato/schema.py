@@ -156,10 +156,14 @@ LOAD_ORDER = ("countries", "cities", "categories", "customers", "employees", "pr
 # FIXED VALUES: expected row counts of the full retail data set.
 EXPECTED_ROWS = {"countries": 206, "sales": 50_000}
 
+#: the column of a file row's first field beyond the table's columns
+SURPLUS = "_surplus"
+
 __all__ = [
     "Col",
     "Table",
     "TABLES",
     "LOAD_ORDER",
     "EXPECTED_ROWS",
+    "SURPLUS",
 ]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from mercato.schema import TABLES, Table
+from mercato.schema import SURPLUS, TABLES, Table
 
 # FIXED VALUES: text read as null (only these; anything else stays text).
 NULL_TOKENS = ("", "NA", "N/A", "NULL")
@@ -44,7 +44,8 @@ def read_text_csv(
     reader = reader.option("mode", "PERMISSIVE").option("nullValue", None).option("emptyValue", "")
     try:
         if columns is not None:
-            df = reader.schema(text_schema(columns)).csv(path)
+            # a file has no header for SURPLUS: all fields are parsed, so that header and schema differ in length only
+            df = reader.option("columnPruning", SURPLUS not in columns).schema(text_schema(columns)).csv(path)
         else:
             df = reader.option("inferSchema", False).csv(path)
     except AnalysisException as e:
@@ -54,11 +55,12 @@ def read_text_csv(
     return df.select(*[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in df.columns])
 
 
-def read_table_csv(spark: SparkSession, path: str, table: str | Table) -> DataFrame:
-    """Read a star table's CSV file as text columns, reordered from file order to table order."""
+def read_table_csv(spark: SparkSession, path: str, table: str | Table, surplus: bool = False) -> DataFrame:
+    """Read a star table's CSV file as text columns, reordered from file order to table order; with
+    ``surplus`` the column SURPLUS has a row's first field beyond them."""
     t = TABLES[table] if isinstance(table, str) else table
-    raw = read_text_csv(spark, path, file_columns(t))
-    return raw.select(*t.column_names)
+    raw = read_text_csv(spark, path, (*file_columns(t), SURPLUS))
+    return raw.select(*t.column_names, *[SURPLUS] * surplus)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mercato.operators.quality import check_error_rate, conform
-from mercato.schema import TABLES
+from mercato.schema import SURPLUS, TABLES
 from mercato.sources.csv import NULL_TOKENS, file_columns, text_schema
 
 
@@ -24,7 +24,7 @@ def _batch_writer(out_path: str, max_fraction: float):
         batch = batch.persist()  # re-computable from the same files if lost
         try:
             check_error_rate(batch, max_fraction)
-            batch.filter(F.size("errors") == 0).drop("errors").write.mode("overwrite").parquet(
+            batch.filter(F.size("errors") == 0).drop("errors", "raw").write.mode("overwrite").parquet(
                 f"{out_path.rstrip('/')}/batch_id={batch_id}"
             )
             batch.filter(F.size("errors") > 0).write.mode("overwrite").parquet(
@@ -57,17 +57,18 @@ def start_csv_ingest(
     if checkpoint_location is None:
         checkpoint_location = f"{out_path.rstrip('/')}_checkpoint"
     reader = (
-        spark.readStream.schema(text_schema(file_columns(t)))
+        spark.readStream.schema(text_schema((*file_columns(t), SURPLUS)))
         .option("header", True)
         .option("sep", ",")
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
+        .option("columnPruning", False)
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(source_dir)
-    text = raw.select(*[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in t.column_names])
+    text = raw.select(*[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in (*t.column_names, SURPLUS)])
     flagged = conform(text, table, level)
     writer = flagged.writeStream.foreachBatch(_batch_writer(out_path, max_fraction)).option(
         "checkpointLocation", checkpoint_location

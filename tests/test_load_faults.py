@@ -39,6 +39,21 @@ def test_doubled_quotes(spark, tmp_path):
     assert read_text_csv(spark, path).first()["name"] == 'Casa "Azul" 3'
 
 
+def test_surplus_fields_are_rejected_and_rejects_keep_their_text(spark, tmp_path):
+    path, out = os.path.join(tmp_path, "customers.csv"), os.path.join(tmp_path, "out")
+    with open(path, "w") as f:
+        f.write("CustomerID,FirstName,MiddleInitial,LastName,CityID,Address\n1,Ana,B,Ruiz,1,Calle 1, Rosario\n2,Eva,,Paz,abc,Calle 2\n")
+        f.write("".join(f"{i},Ana,B,Ruiz,1,Calle {i}\n" for i in range(3, 30)) + "30,Ana,B,Ruiz,1,Calle 30,\n")
+    assert quality.load_csv_table(spark, path, "customers", out) == {"table": "customers", "rows": 30, "rejected": 2}
+    rejects = {r["CustomerID"]: r for r in spark.read.parquet(out + "_rejects").collect()}
+    assert rejects[1]["errors"] == ["_surplus:malformed_row"] and rejects[1]["raw"]["_surplus"] == " Rosario"
+    assert rejects[2]["CityID"] is None and rejects[2]["raw"]["CityID"] == "abc"
+    good = spark.read.parquet(out)
+    assert good.count() == 28 and not {"raw", "errors", "_surplus"} & set(good.columns)
+    report = quality.validate_file(spark, path, "customers.csv").collect()
+    assert sorted((r["key"], r["rule"]) for r in report) == [("1", "malformed_row"), ("2", "type")]
+
+
 def test_stream_checkpoint_belongs_to_the_output(spark, tmp_path):
     src, out = os.path.join(tmp_path, "in"), os.path.join(tmp_path, "out")
     os.makedirs(src)

@@ -1,7 +1,6 @@
 import pytest
-from pyspark.sql import functions as F
 
-from mercato.plans.spec import QuerySpec, run_spec
+from mercato.plans.spec import run_spec
 
 
 @pytest.fixture(scope="module")
@@ -18,50 +17,66 @@ def tables(spark):
 
 
 def test_basic(tables):
-    out = QuerySpec().seleccionar("nombre", "id").desde_tabla("clientes").ejecutar(tables)
+    out = run_spec(tables, {"select": ["nombre", "id"], "from": "Clientes"})
     assert out.columns == ["nombre", "id"] and out.count() == 3
 
 
 def test_joins_inner_and_left(tables):
-    out = (QuerySpec().select("c.nombre", "v.total", "ci.nombre as ciudad").from_("clientes c")
-           .join("ventas v", "c.id = v.cliente_id").left_join("ciudades ci", "c.ciudad_id = ci.id").run(tables))
+    out = run_spec(tables, {
+        "select": ["c.nombre", "v.total", "ci.nombre as ciudad"], "from": "clientes c",
+        "joins": [("ventas v", "c.id = v.cliente_id"), ("ciudades AS ci", "c.ciudad_id = ci.id", "LEFT")],
+    })
     assert sorted(tuple(r) for r in out.collect()) == [("Ana", 5.0, "Rosario"), ("Ana", 7.0, "Rosario"), ("Luis", 1.0, "Salta")]
-    out = (QuerySpec().select("c.id", "ci.nombre as ciudad").from_("clientes c")
-           .left_join("ciudades ci", "c.ciudad_id = ci.id").run(tables))
+    out = run_spec(tables, {
+        "select": ["c.id", "ci.nombre as ciudad"], "from": "clientes c", "joins": [("ciudades ci", "c.ciudad_id = ci.id", "left")],
+    })
     assert sorted(tuple(r) for r in out.collect()) == [(1, "Rosario"), (2, "Salta"), (3, None)]
 
 
 def test_complex(tables):
-    spec = (QuerySpec().select("categoria", "COUNT(*) as total", "AVG(precio) as precio_promedio")
-            .from_("productos p").join("categorias c", "p.categoria_id = c.id")
-            .where("p.precio > 50").where("p.activo = 1")
-            .group_by("categoria").having("COUNT(*) > 5").order_by("precio_promedio", "DESC").limit(10))
-    rows = [tuple(r) for r in spec.run(tables).collect()]
+    spec = {
+        "select": ["categoria", "COUNT(*) as total", "AVG(precio) as precio_promedio"], "from": "productos p",
+        "joins": [("categorias c", "p.categoria_id = c.id")], "where": ["p.precio > 50", "p.activo = 1"],
+        "group_by": ["categoria"], "having": ["COUNT(*) > 5"], "order_by": ["precio_promedio DESC"], "limit": 10,
+    }
     # precio > 50 keeps ids 3..14, activo drops id 3 -> A: 4,6,...,14 (6 rows), B: 5,7,...,13 (5 rows)
-    assert rows == [("A", 6, 85.0)]
+    assert [tuple(r) for r in run_spec(tables, spec).collect()] == [("A", 6, 85.0)]
 
 
 def test_having_on_output_name_and_limit_zero(tables):
-    spec = (QuerySpec().select("categoria_id", "SUM(precio) as s").from_("productos")
-            .group_by("categoria_id").having("s > 300").order_by("categoria_id"))
-    assert [r.categoria_id for r in spec.run(tables).collect()] == [1, 2]
-    assert QuerySpec().select("id").from_("productos").limit(0).run(tables).count() == 0
-
-
-def test_reset_reuses_builder(tables):
-    b = QuerySpec().select("nombre").from_("clientes")
-    assert b.run(tables).count() == 3
-    b.reiniciar().seleccionar("nombre", "precio").desde_tabla("productos").donde("precio < 50").ordenar_por("precio", "ASC").limite(3)
-    assert [r.nombre for r in b.run(tables).collect()] == ["p1"]
-
-
-def test_select_and_from_are_required(tables):
-    with pytest.raises(ValueError, match="SELECT and FROM"):
-        QuerySpec().run(tables)
-    with pytest.raises(ValueError, match="SELECT and FROM"):
-        QuerySpec().select("x").run(tables)
-    with pytest.raises(ValueError):
-        QuerySpec().join("t", "a = b", "CROSS")
+    spec = {
+        "select": ["categoria_id", "SUM(precio) as s"], "from": "productos", "group_by": ["categoria_id"],
+        "having": ["s > 300"], "order_by": ["categoria_id"],
+    }
+    assert [r.categoria_id for r in run_spec(tables, spec).collect()] == [1, 2]
+    assert run_spec(tables, {"select": ["id"], "from": "productos", "limit": 0}).count() == 0
+
+
+def test_order_by_an_aggregate(tables):
+    spec = {"select": ["categoria_id"], "from": "productos p", "group_by": ["categoria_id"], "order_by": ["SUM(p.precio) DESC"]}
+    assert [r.categoria_id for r in run_spec(tables, spec).collect()] == [1, 2]
+
+
+def test_names_beyond_ascii_and_mixed_having(tables):
+    spec = {
+        "select": ["c.categoria as Categoría", "SUM(p.precio) as Total", "'ñ {x}' as texto"], "from": "productos p",
+        "joins": [("categorias c", "p.categoria_id = c.id")], "where": ["p.precio > :least OR p.precio < 0"],
+        "group_by": ["c.categoria"], "having": ["Total > 1 AND COUNT(*) > :n"], "order_by": ["Total DESC", "Categoría"],
+    }
+    rows = run_spec(tables, spec, {"least": 50, "n": 1}).collect()
+    assert [(r["Categoría"], r["Total"], r["texto"]) for r in rows] == [("A", 510.0, "ñ {x}"), ("B", 480.0, "ñ {x}")]
+
+
+def test_conditions_of_a_list_hold_together(tables):
+    spec = {"select": ["id"], "from": "productos", "where": ["id = 1 OR id = 2", "activo = 1 AND id > 1"]}
+    assert [r.id for r in run_spec(tables, spec).collect()] == [2]
+
+
+def test_faulty_specifications(tables):
+    for spec in ({}, {"select": ["x"]}, {"from": "clientes"}, {"select": ["x"], "from": "nadie"}, {"select": ["x"], "from": "clientes", "filter": []},
+                 {"select": ["c.id"], "from": "clientes c", "joins": [("ventas v", "c.id = v.id", "CROSS")]}):
+        with pytest.raises(ValueError):
+            run_spec(tables, spec)
 
 
 def test_filter_reaches_parquet_scan(spark, star):
