@@ -63,3 +63,15 @@ def test_stream_checkpoint_belongs_to_the_output(spark, tmp_path):
     for _ in range(2):
         start_csv_ingest(spark, src, "sales", out).awaitTermination(120)
     assert os.path.isdir(out + "_checkpoint") and spark.read.parquet(out).count() == 5
+
+
+def test_stream_rejects_surplus_fields(spark, tmp_path):
+    src, out = os.path.join(tmp_path, "in"), os.path.join(tmp_path, "out")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write("CustomerID,FirstName,MiddleInitial,LastName,CityID,Address\n1,Ana,B,Ruiz,1,Calle 1, Rosario\n")
+        f.write("".join(f"{i},Ana,B,Ruiz,1,Calle {i}\n" for i in range(2, 21)))
+    start_csv_ingest(spark, src, "customers", out).awaitTermination(120)
+    good, rejects = spark.read.parquet(out), spark.read.parquet(out + "_rejects").collect()
+    assert good.count() == 19 and not {"raw", "errors", "_surplus"} & set(good.columns)
+    assert [(r["CustomerID"], r["errors"], r["raw"]["_surplus"]) for r in rejects] == [(1, ["_surplus:malformed_row"], " Rosario")]
