@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.llm.common import bounded, join_groups, materialise
-from mercato.llm.textbatch import Chunk, chunks, gram_hashes, mix, word_hashes
+from mercato.llm.textbatch import Chunk, chunks, gram_hashes, mix, release, releasing, word_hashes
 
 WORDS = 5
 #: link at PERCENT / 100 or more
@@ -43,7 +43,7 @@ EPS = 1 - PERCENT / 100
 SHORT, LONG = 256, 320
 SAMPLE = 0.4
 #: text characters for each range of hashes in the screening
-RANGE_CHARS = 20_000_000
+RANGE_CHARS = 10_000_000
 #: hashed segments of a pivot's shingles, by which the overlap of two of its neighbours is bounded
 SEGMENTS = 128
 #: shingles that a task posts together, to keep its memory small
@@ -156,11 +156,13 @@ def screen(sets: DataFrame, ranges: int, share: float) -> DataFrame:
             return part[["batch", "a", "b"]].assign(about=True)
         key = np.concatenate([np.frombuffer(x, "<u4") for x in part["a"]])
         owner = np.concatenate([np.frombuffer(x, "<u2") for x in part["b"]])
-        batch = np.repeat(np.arange(len(part)), [len(x) // 4 for x in part["a"]])
-        order = np.argsort(key, kind="stable")
+        batch = np.repeat(np.arange(len(part), dtype=np.int32), [len(x) // 4 for x in part["a"]])
+        # hash and position in one number: sorted in place
+        placed = key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64)
+        placed.sort()
         new = np.ones(len(key) + 1, bool)
-        new[1:-1] = key[order][1:] != key[order][:-1]
-        once = order[new[:-1] & new[1:]]
+        new[1:-1] = np.diff(placed >> np.uint64(32)) != 0
+        once = (placed[new[:-1] & new[1:]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         once = once[owner[once] != _NO_DOC]
         once = once[np.argsort(batch[once], kind="stable")]
         cuts = np.searchsorted(batch[once], np.arange(len(part) + 1))
@@ -169,6 +171,12 @@ def screen(sets: DataFrame, ranges: int, share: float) -> DataFrame:
             "b": [b""] * len(part), "about": False,
         })
 
+    def lonely(part: pd.DataFrame) -> pd.DataFrame:
+        found = single(part)
+        if part["range"].iloc[0] >= 0:
+            release()
+        return found
+
     def decide(part: pd.DataFrame) -> pd.DataFrame:
         about = part[part["about"]].iloc[0]
         sizes = np.frombuffer(about["a"], "<i8")
@@ -178,8 +186,8 @@ def screen(sets: DataFrame, ranges: int, share: float) -> DataFrame:
         left = np.flatnonzero(alone <= allowed(sizes))
         return pd.DataFrame({"digest": [about["b"][16 * i : 16 * i + 16] for i in left], "n": sizes[left], "alone": alone[left]})
 
-    posted = sets.select("tokens" if ready else "text").mapInArrow(post, "range long, batch long, a binary, b binary")
-    told = posted.groupBy("range").applyInPandas(single, "batch long, a binary, b binary, about boolean")
+    posted = sets.select("tokens" if ready else "text").mapInArrow(releasing(post), "range long, batch long, a binary, b binary")
+    told = posted.groupBy("range").applyInPandas(lonely, "batch long, a binary, b binary, about boolean")
     kept = told.groupBy("batch").applyInPandas(decide, "digest binary, n long, alone long")
     return kept.groupBy("digest").agg(F.first("n").alias("n"), F.max("alone").alias("alone"))
 
@@ -200,7 +208,7 @@ def read_sets(docs: DataFrame, left: DataFrame) -> DataFrame:
                 )
                 uid, i = uid + len(sets), i + len(sets)
 
-    rows = docs.mapInArrow(run, "uid long, doc_id long, n long, digest binary, tokens binary")
+    rows = docs.mapInArrow(releasing(run), "uid long, doc_id long, n long, digest binary, tokens binary")
     flagged = rows.join(bounded(left.select("digest", F.lit(True).alias("open"))), "digest", "left")
     return materialise(flagged.select("uid", "doc_id", "n", "digest", F.when(F.col("open"), F.col("tokens")).alias("tokens")), "jaccard-sets")
 
@@ -237,7 +245,7 @@ def prefixes(sets: DataFrame, share: float) -> DataFrame:
                             names=["region", "c", "n", "posted", "mark"],
                         )
 
-    posted = materialise(sets.select("c", "tokens").mapInArrow(post, "region long, c long, n long, posted long, mark long"), "jaccard-postings")
+    posted = materialise(sets.select("c", "tokens").mapInArrow(releasing(post), "region long, c long, n long, posted long, mark long"), "jaccard-postings")
     often = posted.groupBy("region").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = posted.join(often, "region")
     own = Window.partitionBy("c", "mark")
@@ -280,7 +288,7 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             )
 
     dealt = pivots.unionByName(members).repartition("p", "salt").sortWithinPartitions("p", "salt", "kind")
-    return materialise(dealt.select("p", "kind", "c", "tokens").mapInArrow(compare, "p long, c long, both long, either long, parts array<int>"), "jaccard-distances")
+    return materialise(dealt.select("p", "kind", "c", "tokens").mapInArrow(releasing(compare), "p long, c long, both long, either long, parts array<int>"), "jaccard-distances")
 
 
 def components(links: DataFrame) -> DataFrame:

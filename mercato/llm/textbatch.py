@@ -6,7 +6,8 @@ holds; a longer document makes a chunk of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+#: texts of a batch that are decoded together
+CHUNK_ROWS = 1024
 _BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -52,16 +55,35 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(column: pa.Array, lower: bool = True, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    body, at = utf8(column)
-    i, n = 0, len(at) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + size, side="right")) - 1)
-        data = body[at[i] : at[j]]
-        if lower:
-            data = _LOWER[data]
-        begin = at[i : j + 1] - at[i]
-        yield Chunk(i, data, begin, *word_spans(data, begin))
-        i = j
+    for first in range(0, len(column), CHUNK_ROWS):
+        body, at = utf8(column.slice(first, CHUNK_ROWS))
+        i, n = 0, len(at) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + size, side="right")) - 1)
+            data = body[at[i] : at[j]]
+            if lower:
+                data = _LOWER[data]
+            begin = at[i : j + 1] - at[i]
+            yield Chunk(first + i, data, begin, *word_spans(data, begin))
+            i = j
+
+
+def release() -> None:
+    """Give memory that is free in this worker back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function over a task's batches, that ends with :func:`release`."""
+
+    def runs(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return runs
 
 
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.textbatch import Chunk, chunks, gram_hashes, word_hashes
+from mercato.llm.textbatch import Chunk, chunks, gram_hashes, releasing, word_hashes
 
 #: words, pairs, and pairs with one or two words between
 GAPS = ((0,), (0, 1), (0, 2), (0, 3))
@@ -115,8 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
         )
 
     # one task: the sample is bounded, and the fit takes one document after another
-    rows = one_text.mapInArrow(featurise, "key long, y double, present binary").repartition(1).sortWithinPartitions("key")
-    model = rows.mapInArrow(train, "feature long, weight double").toPandas()  # at most 2**BITS + 1 rows
+    rows = one_text.mapInArrow(releasing(featurise), "key long, y double, present binary").repartition(1).sortWithinPartitions("key")
+    model = rows.mapInArrow(releasing(train), "feature long, weight double").toPandas()  # at most 2**BITS + 1 rows
     one = model["feature"].to_numpy() >= 0
     intercept = float(model["weight"][~one].sum()) if (~one).any() else 0.0
     return model["feature"].to_numpy()[one], model["weight"].to_numpy()[one], intercept
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
             )
 
     schema = out.select(*keep).schema.add(name, "double")
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(releasing(run), schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
