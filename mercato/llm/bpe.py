@@ -16,6 +16,8 @@ import pyarrow as pa
 from mercato.llm.textbatch import chunks, span_hashes
 
 CACHE_PIECES = 1_000_000
+#: pieces that the tokenizer encodes together: what it returns takes many times the ids' memory
+ENCODED_AT_ONCE = 4096
 #: bytes after a space that can't begin a white space character (leads of the non-ASCII ones are out)
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -51,9 +53,12 @@ class PieceEncoder:
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         if len(self.keys) + len(keys) > CACHE_PIECES and len(self.keys):
             self._forget()
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))
+        counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for i in range(0, len(pieces), ENCODED_AT_ONCE):
+            some = [x.ids for x in self.tokenizer.encode_batch_fast(pieces[i : i + ENCODED_AT_ONCE], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, some), np.int64, len(some)))
+            flat.append(np.fromiter((i for x in some for i in x), np.uint32, int(counts[-1].sum())))
+        n, ids = np.concatenate(counts), np.concatenate(flat)
         order = np.argsort(all_keys := np.concatenate([self.keys, keys]), kind="stable")
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])[order]
         self.n = np.concatenate([self.n, n])[order]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.llm.common import WORD, materialise, prefix_positions, text_or_empty
-from mercato.llm.textbatch import chunks, mix
+from mercato.llm.textbatch import chunks, mix, releasing
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # words of the mix over words of the corpus
@@ -204,18 +204,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts: list[str] = []
-            spans = batch.column("__spans").to_pylist()
             for chunk in chunks(batch.column("text"), lower=False):
+                rows, texts = batch.slice(chunk.first, chunk.docs), []
                 # a word's piece runs to the next word; the first one has what comes before it
-                for i in range(chunk.docs):
+                for i, spans in enumerate(rows.column("__spans").to_pylist()):
                     first, last = int(chunk.word_at[i]), int(chunk.word_at[i + 1])
                     edges = np.append(chunk.starts[first:last], chunk.at[i + 1])
                     edges[0] = chunk.at[i]
-                    parts = [chunk.data[edges[s["start"]] : edges[s["start"] + s["length"]]].tobytes() for s in spans[chunk.first + i]]
+                    parts = [chunk.data[edges[s["start"]] : edges[s["start"] + s["length"]]].tobytes() for s in spans]
                     texts.append(b"".join(parts).decode("utf-8", "replace"))
-            arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+                arrays = [pa.array(texts, pa.string()) if c == "text" else rows.column(c) for c in columns]
+                yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    out = taken.mapInArrow(cut, docs.schema)
+    out = taken.mapInArrow(releasing(cut), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from mercato.llm.bpe import encoded
 from mercato.llm.common import materialise, prefix_positions
+from mercato.llm.textbatch import releasing
 
 SEQUENCE = 2048
 END_ID = 1
@@ -98,7 +99,7 @@ def token_pieces(docs: DataFrame, sequence: int, tokenizer: str, with_ids: bool)
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(cut), schema)
 
 
 def pack_documents(
