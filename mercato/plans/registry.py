@@ -133,6 +133,7 @@ QUERIES.update(
 ORACLE_SQL.update(dirty_sql.QUERIES)
 
 SPOT_PRODUCTS = [1, 2, 3, 4, 5]
+SPOT_SALES = [3, 4, 5, 13, 26, 32, 36, 37]
 
 QUERIES.update(
     {
@@ -140,6 +141,9 @@ QUERIES.update(
             load_star(spark, d).products, "ProductID", SPOT_PRODUCTS, ["ProductID", "ProductName", "Price", "ModifyDate"],
             time_columns=("ModifyDate",),
         ),
+        "q20_spot_check_sales": lambda spark, d: quality.spot_check(
+            load_star(spark, d).sales, "SalesID", SPOT_SALES, ["SalesID", "ProductID", "TotalPrice", "SalesDate"], time_columns=("SalesDate",)
+        ),
         "o2_first_customers": lambda spark, d: load_star(spark, d).customers.orderBy("CustomerID").limit(5),
     }
 )

@@ -260,7 +260,8 @@ def price_list(
     star: Star, min_price: float | None = None, max_price: float | None = None, ascending: bool = False, limit: int = 5
 ) -> DataFrame:
     """Products strictly above ``min_price`` and/or below ``max_price``, by price, top ``limit``
-    (ties by product ID). The price filter reaches the Parquet scan."""
+    (ties by product ID). On a materialised star the price filter reaches the Parquet scan; on the
+    adapter's it doesn't, as ``Price`` is a cast of the stored column."""
     p = star.products
     if min_price is not None:
         p = p.filter(F.col("Price") > F.lit(min_price))
