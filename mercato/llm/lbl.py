@@ -1,12 +1,16 @@
 """Language-model scores by a log-bilinear model trained with noise-contrastive estimation.
 
-Word counts come from all training documents. The most frequent words, the end mark and one class for
-all other words make the model's classes; a class is scored by the bilinear product of its vector with
-the sum of the two previous classes' position vectors, plus a bias. Each partition of the training
-documents trains a copy in numpy against noise drawn from the class frequencies, and the copies are
-averaged by their tokens. One matrix product then gives the normaliser of every context, so that token
-log-probabilities are exactly normalised; within the class of other words a word has its smoothed
-count's share.
+Word counts come from all training documents. Every frequent word of at least LEAST tokens, the end mark
+among them, is a unit of the model; the other words share hashed cells, about four for each root of the
+number of distinct words, and a cell is a unit too. The most frequent units are classes of their own, the
+others lie by frequency in about as many classes as a class has units, so classes and units grow with the
+input. A class is scored by the bilinear product of its vector with the sum of the two previous classes'
+position vectors, plus a bias; a unit within its class likewise, by its vector and the sum of the two
+previous units' context vectors, each times its position's weights. Each partition of the training documents trains a copy in numpy against noise, for classes
+drawn from their frequencies and for units evenly from the class, and the copies are averaged by their
+tokens. One matrix product then gives the normaliser over the classes of every context, and a sum over a
+token's class the one over units, so that token log-probabilities are exactly normalised; within a cell a
+word has its smoothed count's share, and words never seen have together that of half a token.
 
 Frequent words' counts go to every task: words with at least one token in FREQUENT, so at most FREQUENT
 of them at any corpus size. Rarer words meet their counts in a shuffled join.
@@ -25,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.llm.common import materialise
-from mercato.llm.textbatch import Chunk, chunks, word_hashes
+from mercato.llm.textbatch import Chunk, chunks, release, word_hashes
 from mercato.llm.toxicity import held_out
 
-CLASSES = 1024  # with the end mark and the class of other words
+HEADS = 1024  # units that are classes of their own
+LEAST = 5  # tokens of a word that is a unit of its own
+CELLS = 64  # at least so many hashed cells for the other words
 DIMS = 16
 NOISE = 64
+NEAR = 5  # noise units for a token, out of its class
+BLOCK = 1 << 16  # numbers of a model in a row
 BATCH = 4096
 RATE = 0.15
 FREQUENT = 1 << 22
@@ -82,16 +90,71 @@ def contexts(classes: np.ndarray, at: np.ndarray, start: int) -> tuple[np.ndarra
     return one, two
 
 
+def cells(h: np.ndarray, n: int) -> np.ndarray:
+    """The cells, of ``n``, of word hashes; score_documents has the same in SQL."""
+    return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+
+
+class Units:
+    """Own words and cells by descending mass, and the classes that they lie in.
+
+    ``keys`` are the frequent words' hashes, ascending, ``c`` their counts, ``rest`` the mass of all other
+    words by cell. A word has its count and a half as mass, a cell its words' and a half for unseen ones.
+    """
+
+    def __init__(self, keys: np.ndarray, c: np.ndarray, rest: np.ndarray, heads: int):
+        own, at = c >= LEAST, cells(keys, len(rest))
+        cell = rest + 0.5 + np.bincount(at[~own], c[~own] + 0.5, len(rest))
+        mass = np.concatenate([c[own] + 0.5, cell])
+        order = np.lexsort((np.arange(len(mass)), -mass))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.keys, self.mass = keys, mass[order]
+        self.cell = rank[own.sum() :]
+        self.word = self.cell[at]
+        self.word[own] = rank[: own.sum()]
+        self.heads = min(heads, len(mass))
+        self.width = math.isqrt(max(0, len(mass) - self.heads - 1)) + 1  # units of the other classes
+        self.is_cell = np.zeros(len(mass), bool)
+        self.is_cell[self.cell] = True
+        first = np.append(np.arange(self.heads), np.arange(self.heads, len(mass), self.width))
+        self.count = len(first)  # of classes
+        share = np.add.reduceat(self.mass, first)
+        self.within = self.mass / share[self.classes(np.arange(len(mass)))]  # of each unit in its class
+        self.share = share / share.sum()
+
+    def find(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units of word hashes, places among the frequent words, and whether they are there."""
+        place, known = lookup(self.keys, found)
+        cell = self.cell[cells(found, len(self.cell))]
+        return (np.where(known, self.word[place], cell) if len(self.keys) else cell), place, known
+
+    def classes(self, units: np.ndarray) -> np.ndarray:
+        """Classes of units; the place before a document's start has the number after the last."""
+        of = np.where(units < self.heads, units, self.heads + (units - self.heads) // self.width)
+        return np.where(units == len(self.mass), self.count, of)
+
+    def span(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First unit of classes that aren't heads, and the one after the last."""
+        low = self.heads + (k - self.heads) * self.width
+        return low, np.minimum(low + self.width, len(self.mass))
+
+
 class Model:
-    """Position vectors of the context classes (one more: before the start), class vectors and biases."""
+    """Position vectors of the context classes (one more: before the start), class vectors and biases; with
+    ``within``, the units' shares of their classes, also the units' context vectors, the two positions'
+    weights, and the units' vectors and biases."""
 
-    def __init__(self, share: np.ndarray):
+    def __init__(self, share: np.ndarray, within: np.ndarray | None = None):
         rng = np.random.default_rng(SEED)
-        k = len(share)
         self.share = share  # of each class among the tokens: the noise, and the first biases
-        self.parts = [
-            rng.normal(0, 0.1, (k + 1, DIMS)), rng.normal(0, 0.1, (k + 1, DIMS)), rng.normal(0, 0.1, (k, DIMS)), np.log(share)[:, None],
-        ]
+        draw = lambda n: rng.standard_normal((n, DIMS), np.float32) * np.float32(0.1)
+        bias = lambda first: np.log(first)[:, None].astype(np.float32)
+        k = len(share)
+        self.parts = [draw(k + 1), draw(k + 1), draw(k), bias(share)]
+        if within is not None:
+            n = len(within)
+            self.parts += [draw(n + 1), np.ones((2, DIMS), np.float32), draw(n), bias(within)]
 
     def vector(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
@@ -103,75 +166,138 @@ class Model:
 
 
 class Trainer:
-    """Noise-contrastive estimation by Adagrad over mini-batches that share their noise classes."""
+    """Noise-contrastive estimation by Adagrad over mini-batches; the noise classes are a batch's, the
+    noise units a token's."""
 
-    def __init__(self, share: np.ndarray):
-        self.model = Model(share)
-        self.speed = [np.full(p.shape, 1e-2) for p in self.model.parts]
+    def __init__(self, units: Units):
+        self.units = units
+        self.model = Model(units.share, units.within)
+        self.speed = [np.ones((len(p), 1), np.float32) for p in self.model.parts]
         self.rng = np.random.default_rng(SEED + 1)
-        self.cumulative = np.cumsum(share / share.sum())
+        self.cumulative = np.cumsum(units.share)
+        self.log_noise = np.log(NOISE * units.share).astype(np.float32)
         self.seen = 0
 
-    def _step(self, part: int, rows: np.ndarray | None, gradient: np.ndarray) -> None:
+    def _step(self, part: int, rows: np.ndarray, gradient: np.ndarray) -> None:
         table, speed = self.model.parts[part], self.speed[part]
-        if rows is not None:  # sum the rows of a class
-            d = table.shape[1]
-            flat = (rows[:, None] * d + np.arange(d)).ravel()
-            gradient = np.bincount(flat, gradient.ravel(), table.size).reshape(table.shape)
-        speed += gradient * gradient
-        table -= RATE * gradient / np.sqrt(speed)
+        d = table.shape[1]
+        at, rows = np.unique(rows, return_inverse=True)
+        flat = (rows[:, None] * d + np.arange(d)).ravel()
+        total = np.bincount(flat, gradient.ravel(), len(at) * d).reshape(-1, d).astype(np.float32)
+        speed[at] += (total * total).mean(1, keepdims=True)
+        table[at] -= np.float32(RATE) * total / np.sqrt(speed[at])
 
     def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        a1, a2, q, b = self.model.parts
+        self._classes(*(self.units.classes(x) for x in (target, one, two)))
+        inside = target >= self.units.heads
+        if inside.any():
+            self._units(target[inside], one[inside], two[inside])
+        self.seen += len(target)
+
+    def _classes(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        a1, a2, q, b = self.model.parts[:4]
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), len(q) - 1)
-        log_noise = np.log(NOISE * self.model.share)
         r = a1[one] + a2[two]
         qt, qn = q[target], q[noise]
         # chance that a class came from the noise (targets) or the data (noise classes)
-        g_target = -1.0 / (1.0 + np.exp(np.clip((r * qt).sum(1) + b[target, 0] - log_noise[target], -30, 30)))
-        g_noise = 1.0 / (1.0 + np.exp(-np.clip(r @ qn.T + b[noise, 0] - log_noise[noise], -30, 30)))
-        n = len(target)
-        g_target, g_noise = g_target / n, g_noise / n
+        g_target = -1.0 / (1.0 + np.exp(np.clip((r * qt).sum(1) + b[target, 0] - self.log_noise[target], -30, 30)))
+        g_noise = 1.0 / (1.0 + np.exp(-np.clip(r @ qn.T + b[noise, 0] - self.log_noise[noise], -30, 30)))
         back = g_target[:, None] * qt + g_noise @ qn
         rows = np.concatenate([target, noise])
         self._step(0, one, back)
         self._step(1, two, back)
         self._step(2, rows, np.concatenate([g_target[:, None] * r, g_noise.T @ r]))
         self._step(3, rows, np.concatenate([g_target, g_noise.sum(0)])[:, None])
-        self.seen += n
 
-
-def train(docs: DataFrame, keys: np.ndarray, classes: np.ndarray, share: np.ndarray) -> Model:
+    def _units(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        e, d, u, b = self.model.parts[4:]
+        low, high = self.units.span(self.units.classes(target))
+        size = (high - low)[:, None]
+        noise = low[:, None] + (self.rng.random((len(target), NEAR)) * size).astype(np.int64)
+        rows = np.concatenate([target[:, None], noise], 1)
+        r, v = e[one] * d[0] + e[two] * d[1], u[rows]
+        log_noise = np.log(NEAR / size).astype(np.float32)
+        s = np.clip(np.matmul(v, r[:, :, None])[:, :, 0] + b[rows, 0] - log_noise, -30, 30)
+        g = 1.0 / (1.0 + np.exp(-s))
+        g[:, 0] -= 1.0
+        back = np.matmul(g[:, None, :], v)[:, 0]
+        weights = np.stack([(back * e[one]).sum(0), (back * e[two]).sum(0)])
+        self._step(4, np.concatenate([one, two]), np.concatenate([back * d[0], back * d[1]]))
+        self._step(5, np.arange(2), weights)
+        self._step(6, rows.ravel(), (g[:, :, None] * r[:, None, :]).reshape(-1, DIMS))
+        self._step(7, rows.ravel(), g.reshape(-1, 1))
+
+
+class Scorer:
+    """Natural logarithms of the units' probabilities by a trained model."""
+
+    def __init__(self, units: Units, model: Model):
+        self.units = units
+        a1, a2, q, b, *self.inner = model.parts
+        self.one, self.two = a1 @ q.T + b.T, a2 @ q.T
+        top = self.one.max(1, keepdims=True), self.two.max(1, keepdims=True)
+        self.log_z = np.log(np.exp(self.one - top[0]) @ np.exp(self.two - top[1]).T) + top[0] + top[1].T
+
+    def __call__(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        k, k1, k2 = (self.units.classes(x) for x in (target, one, two))
+        out = self.one[k1, k].astype(np.float64) + self.two[k2, k] - self.log_z[k1, k2]
+        e, d, u, b = self.inner
+        inside = np.flatnonzero(target >= self.units.heads)
+        inside = inside[np.argsort(k[inside], kind="stable")]
+        for i in range(0, len(inside), BATCH):
+            at = inside[i : i + BATCH]
+            r, of, own = e[one[at]] * d[0] + e[two[at]] * d[1], k[at], target[at]
+            cuts = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
+            low, high = self.units.span(of[cuts[:-1]])
+            log_z = np.empty(len(at), np.float32)
+            for x, y, lo, hi in zip(cuts[:-1], cuts[1:], low, high):
+                s = r[x:y] @ u[lo:hi].T + b[lo:hi, 0]
+                top = s.max(1, keepdims=True)
+                log_z[x:y] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
+            out[at] += (r * u[own]).sum(1) + b[own, 0] - log_z
+        return out
+
+
+def train(docs: DataFrame, units: Units) -> Model:
     """The average, by tokens, of one model for each partition of ``docs``; every token is learned from."""
-    k = len(share)
+    shared = docs.sparkSession.sparkContext.broadcast(units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(share)
+        trainer = None
         for batch in batches:
+            trainer = trainer or Trainer(shared.value)
             for chunk in chunks(batch.column("text")):
                 found, at = tokens(chunk)
-                place, known = lookup(keys, found)
-                of = np.where(known, classes[place], k - 1)
-                one, two = contexts(of, at, k)
+                of = trainer.units.find(found)[0]
+                one, two = contexts(of, at, len(trainer.units.mass))
                 order = trainer.rng.permutation(len(of))
                 for i in range(0, len(of), BATCH):
                     part = order[i : i + BATCH]
                     trainer.learn(of[part], one[part], two[part])
-        if trainer.seen:
-            vector = (trainer.model.vector() * trainer.seen).astype("<f8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([trainer.seen]), pa.array([vector])], names=["p", "seen", "v"])
+        if trainer and trainer.seen:
+            vector, p, seen = trainer.model.vector(), TaskContext.get().partitionId(), trainer.seen
+            vector -= Model(trainer.units.share, trainer.units.within).vector()  # rows that weren't learned: zeros, which compress
+            del trainer
+            for i in range(0, len(vector), BLOCK):
+                columns = [pa.array([p]), pa.array([i // BLOCK]), pa.array([seen]), pa.array([vector[i : i + BLOCK].tobytes()])]
+                yield pa.RecordBatch.from_arrays(columns, names=["p", "block", "seen", "v"])
+        release()
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum((np.frombuffer(v, "<f8") for v in part["v"]), np.zeros(0) if part.empty else 0.0)
-        return pd.DataFrame({"p": [0], "seen": [int(part["seen"].sum())], "v": [total.astype("<f8").tobytes()]})
-
-    schema = "p long, seen long, v binary"
-    models = materialise(docs.select("text").mapInArrow(run, schema), "lbl-models")
-    # added up in groups of about the square root of their number, so that no task or driver gets all
-    groups = max(1, math.isqrt(models.count()))
-    added = models.groupBy(F.pmod("p", F.lit(groups))).applyInPandas(add, schema).groupBy().applyInPandas(add, schema).collect()
-    model = Model(share)
-    return model.load(np.frombuffer(added[0]["v"], "<f8") / added[0]["seen"]) if added else model
+        seen = int(part["seen"].sum())
+        total = sum(np.frombuffer(v, "<f4") * (n / seen) for v, n in zip(part["v"], part["seen"].astype(float)))
+        return pd.DataFrame({"p": [0], "block": [part["block"].iloc[0]], "seen": [seen], "v": [total.astype("<f4").tobytes()]})
+
+    schema = "p long, block long, seen long, v binary"
+    models = docs.select("text").mapInArrow(run, schema)
+    # added up in groups of about the square root of their number, so that no task gets all
+    groups = max(1, math.isqrt(models.rdd.getNumPartitions()))
+    added = models.groupBy("block", F.pmod("p", F.lit(groups))).applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
+    blocks = sorted((r["block"], r["v"]) for r in materialise(added, "lbl-model").select("block", "v").toLocalIterator())
+    shared.unpersist()
+    model = Model(units.share, units.within)
+    learned = [np.frombuffer(v, "<f4") for _, v in blocks]
+    return model.load(model.vector() + np.concatenate(learned)) if learned else model
 
 
 def score_documents(docs: DataFrame, fold: int = 1) -> DataFrame:
@@ -194,35 +320,29 @@ def score_documents(docs: DataFrame, fold: int = 1) -> DataFrame:
     log_total = math.log10(n + 0.5 * (v + 1))
     log_p = np.log10(c + 0.5) - log_total
 
-    # classes: the most frequent words, with the end mark; the last one is for all others
-    top = np.lexsort((keys, -c, keys != END))[: CLASSES - 1]
-    k = len(top) + 1
-    classes = np.full(len(keys), k - 1)
-    classes[top] = np.arange(k - 1)
-    share = np.append(10.0 ** log_p[top], 0.0)
-    share[-1] = max(1.0 - share.sum(), 0.5 / (n + 0.5 * (v + 1)))
-    model = train(training, keys, classes, share)
-    a1, a2, q, b = model.parts
-    one_table, two_table = a1 @ q.T + b.T, a2 @ q.T
-    log_z = np.log(np.exp(one_table) @ np.exp(two_table).T)
-    one_table, two_table, log_z = (x.astype(np.float32) for x in (one_table, two_table, log_z))
-    shared = docs.sparkSession.sparkContext.broadcast((keys, c, log_p, classes, one_table, two_table, log_z))
-    log_other = math.log10(share[-1])
+    size = max(CELLS, 4 * math.isqrt(v))
+    rest = np.zeros(size)
+    late = counts.where(~frequent).groupBy((F.shiftrightunsigned("h", 33) % size).alias("cell")).agg(F.sum(F.col("c") + 0.5).alias("m"))
+    for r in late.toLocalIterator():
+        rest[r["cell"]] = r["m"]
+    units = Units(keys, c, rest, HEADS)
+    shared = docs.sparkSession.sparkContext.broadcast((Scorer(units, train(training, units)), log_p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, c, log_p, classes, one_table, two_table, log_z = shared.value
+        score, log_p = shared.value
+        units = score.units
+        # logarithm of a cell's share, 0 for own words
+        share = np.where(units.is_cell, np.log10(units.mass) - log_total, 0.0)
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             columns: list[list[np.ndarray]] = [[] for _ in range(4)]
             rare, rare_at = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
             for chunk in chunks(batch.column("text")):
                 found, at = tokens(chunk)
-                place, known = lookup(keys, found)
-                of = np.where(known, classes[place], k - 1) if len(keys) else np.full(len(found), k - 1)
-                one, two = contexts(of, at, k)
-                p = (one_table[one, of].astype(np.float64) + two_table[two, of] - log_z[one, two]) / math.log(10)
-                own = np.where(known, log_p[place], 0.0) if len(keys) else np.zeros(len(found))
-                p += np.where(of == k - 1, own - log_other, 0.0)
+                of, place, known = units.find(found)
+                p = score(of, *contexts(of, at, len(units.mass))) / math.log(10)
+                own = np.where(known, log_p[place], 0.0) if len(log_p) else np.zeros(len(found))
+                p += np.where(units.is_cell[of], own - share[of], 0.0)
                 unknown = np.append(0, np.cumsum(~known))
                 for out, x in zip(columns, (np.ones(len(found), np.int64), known.astype(np.int64), own, p)):
                     out.append(np.add.reduceat(x, at[:-1]))  # every document has a token

@@ -265,6 +265,38 @@ def test_lbl_tables_are_normalised():
     assert np.allclose(p.sum(2), 1)
 
 
+def test_lm_units_are_normalised():
+    rng = np.random.default_rng(6)
+    keys = np.sort(rng.integers(0, 1 << 64, 300, np.uint64))
+    c, rest = rng.integers(1, 40, 300), rng.integers(0, 9, 16).astype(float)
+    units = lbl.Units(keys, c, rest, heads=20)
+    n = len(units.mass)
+    assert n == (c >= lbl.LEAST).sum() + 16 and units.count < n and np.isclose(units.share.sum(), 1)
+    score = lbl.Scorer(units, lbl.Model(units.share, units.within))
+    for one, two in rng.integers(0, n + 1, (30, 2)).tolist() + [[n, n]]:
+        p = np.exp(score(np.arange(n), np.full(n, one), np.full(n, two)))
+        assert np.isclose(p.sum(), 1, atol=1e-4)
+    # a cell's words, those outside the frequent ones and half a token for unseen words make its mass
+    of = units.find(keys)[0]
+    inside = np.bincount(of[c < lbl.LEAST], c[c < lbl.LEAST] + 0.5, n)[units.cell]
+    assert np.allclose(inside + rest + 0.5, units.mass[units.cell]) and units.is_cell[of].tolist() == (c < lbl.LEAST).tolist()
+
+
+def test_lm_tells_apart_words_beyond_the_most_frequent(spark):
+    rng = np.random.default_rng(8)
+    train = (i for i in itertools.count() if zlib.crc32(str(i).encode()) % 5 != 1)
+    test = (i for i in itertools.count() if zlib.crc32(str(i).encode()) % 5 == 1)
+    common = rng.permutation(np.repeat(np.arange(1100), 400)).tolist()
+    texts = [" ".join(f"common{x}" for x in common[i : i + 100]) for i in range(0, len(common), 100)]
+    texts += [f"left{k} right{k}" for k in range(10) for _ in range(300)]
+    rows = [(next(train), texts[i]) for i in rng.permutation(len(texts))]
+    pairs = {(j, k): next(test) for j in range(10) for k in range(10)}
+    rows += [(i, f"left{j} right{k}") for (j, k), i in pairs.items()]
+    score = {r["doc_id"]: r["score"] for r in lbl.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    for j, k in itertools.combinations(range(10), 2):
+        assert score[pairs[j, j]] + score[pairs[k, k]] > score[pairs[j, k]] + score[pairs[k, j]] + 0.1
+
+
 def test_permutation_index(spark, none):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 8)).astype("f4")
