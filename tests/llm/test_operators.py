@@ -67,6 +67,25 @@ def test_digest_index_persists(spark, docs, tmp_path):
     assert again.entries().count() == n + 1
 
 
+def test_two_ascending_batches_find_the_groups_of_one(spark, tmp_path):
+    rows = [(i, f"Text {i % 17}" if i % 3 else f"alone {i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = {r["doc_id"]: r for r in digest_index.exact_dedup(df).collect()}
+    index = digest_index.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    two = index.add(df.where("doc_id < 40")).collect() + index.add(df.where("doc_id >= 40")).collect()
+    assert len(two) == len(rows) and index.entries().count() == len({r["text_sha256"] for r in two})
+    first = {r["text_sha256"]: r["keep_id"] for r in two if r["doc_id"] < 40}
+    largest, size = {}, Counter(r["text_sha256"] for r in two)
+    for r in two:  # the second batch meets the first one's rows; the largest id is resolved afterwards
+        sha = r["text_sha256"]
+        assert r["doc_id"] < 40 or sha not in first or (r["keep_id"] == first[sha] and not r["kept"])
+        largest[sha] = max(largest.get(sha, -1), r["doc_id"])
+    for r in two:
+        o = one[r["doc_id"]]
+        assert (o["text_sha256"], o["keep_id"], o["group_size"]) == (r["text_sha256"], largest[o["text_sha256"]], size[o["text_sha256"]])
+        assert o["kept"] == (o["doc_id"] == largest[o["text_sha256"]])
+
+
 def test_sharding(docs, none):
     out = sharding.balanced_shards(docs).collect()
     assert len(out) == len(ROWS) and sharding.balanced_shards(none).count() == 0
