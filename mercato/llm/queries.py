@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import chat, digest_index, jaccard, lbl, mixing, packing, permindex, secrets, sharding, toxicity
+from mercato.llm import chat, digest_index, jaccard, lbl, linecrf, mixing, packing, periodic, permindex, secrets, sharding, toxicity, whitening
 from mercato.llm.common import table
 
 
@@ -55,6 +55,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), tails=True)
+
+
+def op12_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linecrf.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -66,6 +79,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_sharding": op10_sharding,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality_crf": op12_quality_crf,
+    "op13_whitening": op13_whitening,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -150,4 +166,28 @@ SELECT a.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b.doc_id) AS com
 FROM r JOIN w a ON a.uid = r.x JOIN w b ON b.uid = r.y LEFT JOIN n ON n.uid = r.x GROUP BY a.uid, a.doc_id
 """
 
-ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op6_secret_scan": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+# crc32 of the id bit by bit; pairs of equal words q apart, in stretches of consecutive ones, are the runs of period q
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295), -1) AS h FROM documents),
+e AS (SELECT uid, doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM d),
+f AS (SELECT uid, doc_id, n, CASE WHEN h >= 0 AND h % 10 = 0 AND n > 0
+  THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) ELSE w END AS w FROM e),
+p AS (SELECT uid, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM f WHERE n >= 6),
+q AS (SELECT a.uid, b.i - a.i AS q, a.i FROM p a JOIN p b ON a.uid = b.uid AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+s AS (SELECT uid, q, i, i - row_number() OVER (PARTITION BY uid, q ORDER BY i) AS island FROM q),
+c AS (SELECT uid, q AS period, min(i) AS start, count(*) + q AS length FROM s GROUP BY uid, q, island HAVING count(*) >= 3 * q AND count(*) + q >= 6),
+r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.uid = c.uid AND b.period < c.period AND c.period % b.period = 0
+  AND b.start <= c.start AND b.start + b.length >= c.start + c.length)),
+l AS (SELECT uid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM r GROUP BY uid),
+b AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY length / period DESC, start, period) AS nth FROM r),
+g AS (SELECT DISTINCT uid, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT p.uid, string_agg(word, ' ' ORDER BY p.i) AS kept FROM p ANTI JOIN g ON g.uid = p.uid AND g.i = p.i GROUP BY p.uid)
+SELECT f.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+  sha256(coalesce(said, '')) AS runs_sha256, sha256(CASE WHEN f.n < 6 THEN array_to_string(w, ' ') ELSE kept END) AS collapsed_sha256
+FROM f LEFT JOIN l USING (uid) LEFT JOIN k USING (uid) LEFT JOIN b ON b.uid = f.uid AND b.nth = 1
+"""
+
+ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op6_secret_scan": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_periodic_runs": OP11_SQL}
