@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from mercato.llm.textbatch import chunks, span_hashes
+from mercato.llm.textbatch import chunks, span_numbers
 
 CACHE_PIECES = 1_000_000
 #: pieces that the tokenizer encodes together: what it returns takes many times the ids' memory
@@ -45,24 +45,22 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # ascending
-        self.at = np.zeros(0, np.int64)  # of the key's ids
+        self.place: dict[bytes, int] = {}  # of a piece in at and n
+        self.at = np.zeros(0, np.int64)  # of its ids
         self.n = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE_PIECES and len(self.keys):
-            self._forget()
+    def _learn(self, pieces: list[bytes]) -> None:
         counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for i in range(0, len(pieces), ENCODED_AT_ONCE):
-            some = [x.ids for x in self.tokenizer.encode_batch_fast(pieces[i : i + ENCODED_AT_ONCE], add_special_tokens=False)]
+            texts = [p.decode("utf-8", "replace") for p in pieces[i : i + ENCODED_AT_ONCE]]
+            some = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             counts.append(np.fromiter(map(len, some), np.int64, len(some)))
             flat.append(np.fromiter((i for x in some for i in x), np.uint32, int(counts[-1].sum())))
         n, ids = np.concatenate(counts), np.concatenate(flat)
-        order = np.argsort(all_keys := np.concatenate([self.keys, keys]), kind="stable")
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])[order]
-        self.n = np.concatenate([self.n, n])[order]
-        self.keys, self.ids = all_keys[order], np.concatenate([self.ids, ids])
+        self.place.update(zip(pieces, range(len(self.n), len(self.n) + len(pieces))))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
+        self.n, self.ids = np.concatenate([self.n, n]), np.concatenate([self.ids, ids])
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts ``data[at[i]:at[i + 1]]``, end to end, and where each text's ids begin."""
@@ -71,20 +69,18 @@ class PieceEncoder:
         begins[at] = True
         starts = np.flatnonzero(begins[:-1])
         ends = np.append(starts[1:], len(data))[: len(starts)]
-        keys, first, place = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        new = ~np.isin(keys, self.keys, assume_unique=True)
-        if new.any():
-            raw = data.tobytes()
-            pieces = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            if len(self.keys) + len(pieces) > CACHE_PIECES and len(self.keys):
-                self._forget()
-                new[:] = True
-                pieces = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-            self._learn(keys[new], pieces)
-        known = np.searchsorted(self.keys, keys)
-        n = self.n[known][place]
+        number, distinct = span_numbers(data, starts, ends)
+        pieces = distinct.to_pylist()
+        new = [p for p in pieces if p not in self.place]
+        if len(self.n) + len(new) > CACHE_PIECES and len(self.n):
+            self._forget()
+            new = pieces
+        if new:
+            self._learn(new)
+        known = np.fromiter((self.place[p] for p in pieces), np.int64, len(pieces))
+        n = self.n[known][number]
         total = np.cumsum(n)
-        ids = self.ids[np.repeat(self.at[known][place] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
+        ids = self.ids[np.repeat(self.at[known][number] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
         return ids, np.append(0, total)[np.searchsorted(starts, at)]
 
 

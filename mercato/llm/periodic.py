@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from mercato.llm.textbatch import Chunk, chunks, releasing
+from mercato.llm.textbatch import Chunk, chunks, releasing, span_numbers
 
 #: a run has at least so many words, and at least so many periods
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -34,18 +34,6 @@ RUN = StructType().add("start", "long").add("length", "long").add("period", "lon
 RUNS = ArrayType(RUN)
 
 
-def word_numbers(chunk: Chunk) -> np.ndarray:
-    """A number for each word, the same for equal words of the chunk only (by dictionary, not by hash)."""
-    size = chunk.ends - chunk.starts
-    inside = np.zeros(len(chunk.data) + 1, np.int8)
-    inside[chunk.starts] = 1
-    inside[chunk.ends] -= 1
-    packed = chunk.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
-    offsets = np.append(0, np.cumsum(size)).astype(np.int64)
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
-    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def suffix_edges(words: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Neighbours ``i, j`` in the order of the texts' suffixes and their LCP, of those with LCP >= LEAST_LCP.
 
@@ -183,7 +171,7 @@ def collapse(
                 source = np.arange(len(chunk.starts))
                 if rewrite:
                     source = rewrite(batch.column(key).slice(done, chunk.docs).to_numpy(zero_copy_only=False), chunk.word_at)
-                start, length, period = find_runs(word_numbers(chunk)[source], chunk.word_at)
+                start, length, period = find_runs(span_numbers(chunk.data, chunk.starts, chunk.ends)[0][source], chunk.word_at)
                 gone = np.zeros(len(source) + 1, np.int64)
                 np.add.at(gone, start + period, 1)
                 np.add.at(gone, start + length, -1)

@@ -7,6 +7,7 @@ holds; a longer document makes a chunk of its own.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,14 +18,16 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 20
 #: texts of a batch that are decoded together
 CHUNK_ROWS = 1024
-_BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+#: spans of more bytes are hashed by a digest
+_LONG = 512
+#: masks of the first n bytes of eight
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 @dataclass
@@ -111,32 +114,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(kind: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        have = np.full(max(n, _BLOCK + 1), base, np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if n <= 4 * _BLOCK:
-            _powers[kind] = have
-    return have
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span (spans ascending): a polynomial in an odd base modulo 2**64, from
-    prefix sums over blocks of the bytes, then mixed with the length."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        low = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, low + _BLOCK, side="right")))
-        high = int(ends[j - 1])
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, high - low)[: high - low], out=sums[1:])
-        s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[e] - sums[s]) * _power("down", _INVERSE, high - low)[s]
-        i = j
-    return mix(out + mix((ends - starts).astype(np.uint64)))
+    """A 64-bit hash of each span: its length, then eight bytes at a time, every step a bijection of the
+    state. Spans of one length up to eight bytes never collide, others by chance only; long spans get a
+    digest."""
+    size = ends - starts
+    state = mix(size.astype(np.uint64) + np.uint64(_BASE))
+    eights = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    live, at = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    while len(live):
+        left = size[live] - at
+        lane = eights[starts[live] + at] & _FIRST_BYTES[np.minimum(left, 8)]
+        state[live] = mix((state[live] ^ lane) * np.uint64(_BASE))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        state[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return state
+
+
+def span_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each span, the same for equal spans only (by dictionary, not by hash), and the distinct
+    spans by number. Spans ascend and don't overlap."""
+    size = ends - starts
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts[size > 0]] = 1
+    inside[ends[size > 0]] -= 1
+    packed = data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.append(0, np.cumsum(size)).astype(np.int64)
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+    found = spans.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
 
 
 def word_hashes(chunk: Chunk) -> np.ndarray:
