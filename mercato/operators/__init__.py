@@ -2,19 +2,23 @@
 
 from mercato.operators.joins import checked_broadcast, has_at_most, orphans
 from mercato.operators.windows import (
+    Numbering,
     global_ntile,
     global_rank,
     global_row_number,
+    numbered,
     sequence_ids,
     top_n_per_group,
 )
 
 __all__ = [
+    "Numbering",
     "checked_broadcast",
     "global_ntile",
     "global_rank",
     "global_row_number",
     "has_at_most",
+    "numbered",
     "orphans",
     "sequence_ids",
     "top_n_per_group",

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from mercato.functions.money import money_text_es, net_value, segment_label
 from mercato.functions.names import full_name_sql
-from mercato.operators.windows import SINGLE_TASK_ROWS, global_ntile, global_rank, top_n_per_group
-from mercato.sources.star import Star, proven_rows
+from mercato.operators.windows import Numbering, numbered, top_n_per_group
+from mercato.sources.star import Star
 
 _DQ = "__dq"  # SUM(Quantity * (1 - Discount)), the price-free part of the net value
 _QTY = "__qty"
@@ -79,12 +79,8 @@ def top_products_by_category(star: Star, n: int = 3) -> DataFrame:
 
 
 # --------------------------------------------------------------------------------------------- R3
-def employee_ranking(star: Star, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
-    """Sellers ranked by net sales value and by quantity sold (two ``rank()`` over all sellers).
-
-    There is at most one ranked row per employees row, so when the employees table is proven to hold
-    at most ``single_task_rows`` rows the ranks are plain windows; otherwise (or with 0) they use the
-    distributed global rank."""
+def employee_ranking(star: Star) -> DataFrame:
+    """Sellers ranked by net sales value and by quantity sold (two ``rank()`` over all sellers)."""
     pairs = _sales_by(star, ["SalesPersonID", "ProductID"], with_quantity=True)
     per_seller = (
         _priced(pairs, star.products, unit=_discount_unit(star))
@@ -100,12 +96,10 @@ def employee_ranking(star: Star, single_task_rows: int = SINGLE_TASK_ROWS) -> Da
             F.sum("__net").alias("Valor_Total_Ventas_Netas"),
         )
     )
-    bound = proven_rows(star, "employees", single_task_rows)
-    ranked = global_rank(
-        totals, "Valor_Total_Ventas_Netas", ascending=False, name="Ranking_Por_Valor_Venta", max_rows=bound
-    )
-    ranked = global_rank(
-        ranked, "Cantidad_Total_Vendida", ascending=False, name="Ranking_Por_Cantidad_Vendida", max_rows=bound
+    ranked = numbered(
+        totals,
+        Numbering("Ranking_Por_Valor_Venta", "Valor_Total_Ventas_Netas", False),
+        Numbering("Ranking_Por_Cantidad_Vendida", "Cantidad_Total_Vendida", False),
     )
     return ranked.select(
         F.col("FirstName").alias("Nombre_Empleado"),
@@ -138,22 +132,15 @@ def customer_summary(star: Star) -> DataFrame:
     )
 
 
-def customer_segments(
-    star: Star, limit: int | None = 50, single_task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
+def customer_segments(star: Star, limit: int | None = 50) -> DataFrame:
     """Frequency / value quartiles (``ntile(4)``, quartile 1 = highest) over all customers with a
     positive purchase value, labelled ``F<f>-V<v>``; listed quartile 4 first, top ``limit`` rows
-    (``None``: all). Ties inside a quartile boundary are broken by customer ID.
-
-    There is at most one row per customers row: when the customers table is proven to hold at most
-    ``single_task_rows`` rows the quartiles are plain windows, otherwise (or with 0) the distributed
-    global ntile."""
-    base = customer_summary(star).filter(F.col("Valor_Total_Compras") > 0)
-    bound = proven_rows(star, "customers", single_task_rows)
-    q = global_ntile(
-        base, 4, ["Frecuencia_Compras", "CustomerID"], [False, True], name="Cuartil_Frecuencia", max_rows=bound
+    (``None``: all). Ties inside a quartile boundary are broken by customer ID."""
+    q = numbered(
+        customer_summary(star).filter(F.col("Valor_Total_Compras") > 0),
+        Numbering("Cuartil_Frecuencia", ["Frecuencia_Compras", "CustomerID"], [False, True], "ntile", 4),
+        Numbering("Cuartil_Valor", ["Valor_Total_Compras", "CustomerID"], [False, True], "ntile", 4),
     )
-    q = global_ntile(q, 4, ["Valor_Total_Compras", "CustomerID"], [False, True], name="Cuartil_Valor", max_rows=bound)
     out = q.select(
         F.col("CustomerID").alias("ID_Cliente"),
         F.col("FirstName").alias("Nombre_Cliente"),

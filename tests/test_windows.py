@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mercato.operators import global_ntile, global_rank, global_row_number, top_n_per_group
+from mercato.operators import Numbering, global_ntile, global_rank, global_row_number, numbered, top_n_per_group
 
 
 def skewed(spark, n=3000, seed=7):
@@ -52,14 +53,55 @@ def test_ntile_small_inputs(spark):
             assert as_map(got, "q") == as_map(exp, "q"), (n, k)
 
 
-def test_only_counts_go_through_one_partition(spark):
+def test_no_rows_go_through_one_partition(spark):
     df = skewed(spark)
-    got = global_ntile(df, 4, ["v", "id"], [False, True], name="q", num_partitions=4)
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    # the single-partition exchange sits above the per-partition count aggregation only
-    for chunk in plan.split("Exchange SinglePartition")[1:]:
-        below = chunk.split("\n")[1]
-        assert "HashAggregate" in below and "count" in below
+    for got in (
+        global_ntile(df, 4, ["v", "id"], [False, True], name="q", num_partitions=4),
+        global_rank(df, "v", False, name="r"),
+        global_row_number(df, "v", name="n"),
+    ):
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "hashpartitioning(__mc_range" in plan
+
+
+def test_a_value_of_a_third_of_all_rows_is_dealt_to_many_ranges(spark):
+    n, ranges = 30_000, 16
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") % 1000).alias("v"))
+    got = global_rank(df, "v", False, name="r", num_partitions=ranges)
+    want = df.withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc())))
+    assert as_map(got, "r") == as_map(want, "r")
+    # the window's ranges, before their rows meet the prefix sums
+    keyed = df.withColumn("t", F.xxhash64("id", "v"))
+    from mercato.operators import windows
+
+    seen = []
+    plain = windows._prefix
+    windows._prefix = lambda counts, bounds: seen.append(counts) or plain(counts, bounds)
+    try:
+        global_rank(keyed, "v", False, name="r", num_partitions=ranges)
+    finally:
+        windows._prefix = plain
+    sizes = [rows for rows, _ in seen[0].values()]
+    assert sum(sizes) == n and len(sizes) == ranges and max(sizes) < 2 * n / ranges
+
+
+def test_several_numberings_at_once_and_odd_orders(spark):
+    nan = float("nan")
+    rows = [(i, [None, nan, 1.5, -0.0, 0.0, 7.25][i % 6], ["b", None, "ä", "Z", ""][i % 5], i % 4 == 0) for i in range(700)] + [(5, 1.5, "x", True)] * 40
+    df = spark.createDataFrame(rows, "id long, `a.b` double, s string, f boolean").withColumnRenamed("a.b", "d")
+    got = numbered(
+        df, Numbering("r1", ["d", "s"], [False, True]), Numbering("r2", "f"), Numbering("q", ["s", "id"], [False, False], "ntile", 7), num_partitions=6
+    )
+    w1, w2, w3 = Window.orderBy(F.col("d").desc(), F.col("s")), Window.orderBy("f"), Window.orderBy(F.col("s").desc(), F.col("id").desc())
+    want = df.select("*", F.rank().over(w1).alias("r1"), F.rank().over(w2).alias("r2"), F.ntile(7).over(w3).alias("q"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert got.columns == want.columns and {dict(got.dtypes)[c] for c in ("r1", "r2", "q")} == {"bigint"}
+    assert numbered(df.limit(0), Numbering("r", "d")).count() == 0
+    with pytest.raises(ValueError):
+        numbered(df, Numbering("r", ["d", "s"], [True, False, True]))
+    with pytest.raises(ValueError):
+        global_ntile(df, 0, "d")
 
 
 def test_top_n_per_group_keeps_ties(spark):
@@ -96,50 +138,9 @@ def test_property_rank_and_ntile(spark, values, parts, k, desc):
 
 
 def test_default_partitioning_path(spark):
-    # no explicit partition count: the range exchange uses the session's count and AQE may merge
+    # no explicit count: as many ranges as the session has shuffle partitions
     df = skewed(spark, n=4000, seed=11)
     w = Window.orderBy(F.col("v").desc(), F.col("id").asc())
     exp = df.withColumn("q", F.ntile(4).over(w)).withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc())))
     assert as_map(global_ntile(df, 4, ["v", "id"], [False, True], name="q"), "q") == as_map(exp, "q")
     assert as_map(global_rank(df, "v", False, name="r"), "r") == as_map(exp, "r")
-
-
-def test_proven_small_path_equals_distributed_path(spark):
-    # with a proven row bound the operators use plain windows; the numbers must not change
-    df = skewed(spark, n=2500, seed=3)
-    for fn, args in (
-        (global_rank, ("v", False)),
-        (global_row_number, (["v", "id"], [False, True])),
-        (global_row_number, ("v", False)),  # ties: both paths order them by the same row hash
-    ):
-        small = fn(df, *args, name="x", max_rows=2500)
-        big = fn(df, *args, name="x", num_partitions=5)
-        assert as_map(small, "x") == as_map(big, "x"), fn.__name__
-        assert dict(small.dtypes)["x"] == dict(big.dtypes)["x"] == "bigint"
-    for k in (1, 4, 7):
-        small = global_ntile(df, k, "v", False, name="q", max_rows=2500)
-        big = global_ntile(df, k, "v", False, name="q", num_partitions=5)
-        assert as_map(small, "q") == as_map(big, "q"), k
-    plan = global_rank(df, "v", False, name="x", max_rows=2500)._jdf.queryExecution().executedPlan().toString()
-    assert "Window" in plan and "RangePartitioning" not in plan
-
-
-def test_unproven_or_large_bound_stays_distributed(spark):
-    from mercato.operators.windows import SINGLE_TASK_ROWS
-
-    df = skewed(spark, n=500)
-    for bound in (None, SINGLE_TASK_ROWS + 1):
-        plan = global_ntile(df, 4, "v", name="q", max_rows=bound)._jdf.queryExecution().executedPlan().toString()
-        assert "ntile(" not in plan  # no single-partition ntile window: the distributed form
-
-
-def test_reports_same_on_both_paths(spark, star):
-    from mercato.plans import reports
-
-    def rows(df):
-        return sorted(tuple(r) for r in df.collect())
-
-    assert rows(reports.employee_ranking(star)) == rows(reports.employee_ranking(star, single_task_rows=0))
-    assert rows(reports.customer_segments(star, limit=None)) == rows(
-        reports.customer_segments(star, limit=None, single_task_rows=0)
-    )
