@@ -21,26 +21,66 @@ def test_basic(tables):
     assert out.columns == ["nombre", "id"] and out.count() == 3
 
 
-def test_joins_inner_and_left(tables):
-    out = run_spec(tables, {
-        "select": ["c.nombre", "v.total", "ci.nombre as ciudad"], "from": "clientes c",
-        "joins": [("ventas v", "c.id = v.cliente_id"), ("ciudades AS ci", "c.ciudad_id = ci.id", "LEFT")],
-    })
-    assert sorted(tuple(r) for r in out.collect()) == [("Ana", 5.0, "Rosario"), ("Ana", 7.0, "Rosario"), ("Luis", 1.0, "Salta")]
-    out = run_spec(tables, {
-        "select": ["c.id", "ci.nombre as ciudad"], "from": "clientes c", "joins": [("ciudades ci", "c.ciudad_id = ci.id", "left")],
-    })
-    assert sorted(tuple(r) for r in out.collect()) == [(1, "Rosario"), (2, "Salta"), (3, None)]
-
-
-def test_complex(tables):
+def test_joins_inner_and_left(spark, star):
+    out = run_spec(star.as_dict(), {
+        "select": ["s.SalesID as venta", "ci.CityName as ciudad", "e.LastName as vendedor"], "from": "sales s",
+        "joins": [("customers c", "s.CustomerID = c.CustomerID"), ("cities AS ci", "c.CityID = ci.CityID"),
+                  ("employees e", "s.SalesPersonID = e.EmployeeID", "LEFT")],
+    })
+    star.register_views("t_")
+    want = spark.sql("""SELECT s.SalesID, ci.CityName, e.LastName FROM t_sales s JOIN t_customers c USING (CustomerID)
+        JOIN t_cities ci USING (CityID) LEFT JOIN t_employees e ON s.SalesPersonID = e.EmployeeID""")
+    assert out.columns == ["venta", "ciudad", "vendedor"]
+    got = sorted(map(repr, map(tuple, out.collect())))
+    assert got == sorted(map(repr, map(tuple, want.collect()))) and any("None" in r for r in got)
+
+
+def test_all_clauses_together(spark, star):
     spec = {
-        "select": ["categoria", "COUNT(*) as total", "AVG(precio) as precio_promedio"], "from": "productos p",
-        "joins": [("categorias c", "p.categoria_id = c.id")], "where": ["p.precio > 50", "p.activo = 1"],
-        "group_by": ["categoria"], "having": ["COUNT(*) > 5"], "order_by": ["precio_promedio DESC"], "limit": 10,
+        "select": ["c.CategoryName as categoria", "COUNT(*) as lineas", "AVG(s.Quantity) as media"], "from": "sales s",
+        "joins": [("products p", "p.ProductID = s.ProductID"), ("categories c", "p.CategoryID = c.CategoryID")],
+        "where": ["s.Discount > 0.02 OR s.Discount IS NULL", "p.Class <> 'Low'"], "group_by": ["c.CategoryName"],
+        "having": ["COUNT(*) > :least"], "order_by": ["media DESC", "categoria"], "limit": 4,
     }
-    # precio > 50 keeps ids 3..14, activo drops id 3 -> A: 4,6,...,14 (6 rows), B: 5,7,...,13 (5 rows)
-    assert [tuple(r) for r in run_spec(tables, spec).collect()] == [("A", 6, 85.0)]
+    star.register_views("t_")
+    want = spark.sql("""SELECT c.CategoryName, COUNT(*), AVG(s.Quantity) AS m FROM t_sales s JOIN t_products p USING (ProductID)
+        JOIN t_categories c USING (CategoryID) WHERE (s.Discount > 0.02 OR s.Discount IS NULL) AND p.Class <> 'Low'
+        GROUP BY c.CategoryName HAVING COUNT(*) > 10 ORDER BY m DESC, c.CategoryName LIMIT 4""")
+    got = [tuple(r) for r in run_spec(star.as_dict(), spec, {"least": 10}).collect()]
+    assert len(got) == 4 and got == [tuple(r) for r in want.collect()]
+
+
+@pytest.mark.parametrize("clause", [
+    {"where": ["id > 3) UNION ALL SELECT (99"]}, {"select": ["id FROM productos WHERE id = 1 UNION SELECT id"]}, {"where": ["id = 1; DROP TABLE x"]},
+    {"order_by": ["id LIMIT 1"]}, {"group_by": ["id HAVING id > 1"]}, {"where": ["id = 1 /*"]}, {"having": ["1 = 1 ORDER BY id"]},
+    {"from": "productos p, ventas"}, {"from": "productos p WHERE 1 = 0"}, {"joins": [("ventas v", "v.id = productos.id) CROSS JOIN (ventas")]},
+])
+def test_a_clause_cannot_add_another(tables, clause):
+    with pytest.raises(ValueError):
+        run_spec(tables, {"select": ["id"], "from": "productos", **clause})
+
+
+def test_a_comment_ends_with_its_clause(tables):
+    spec = {"select": ["id"], "from": "productos", "where": ["id > 1 -- more", "id < 4"], "order_by": ["id DESC NULLS LAST"]}
+    assert [r.id for r in run_spec(tables, spec).collect()] == [3, 2]
+
+
+@pytest.mark.parametrize("how", ["LEFT", "LEFT OUTER", "RIGHT"])
+def test_outer_joins_of_a_hot_key(spark, how):
+    few = spark.createDataFrame([(k, f"n{k}") for k in range(6)] + [(None, "x"), (0, "again")], "k long, name string")
+    many = spark.range(900).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 WHEN id % 3 = 1 THEN NULL WHEN id % 5 = 0 THEN 99 ELSE 1 + id % 4 END AS k")
+    more = spark.createDataFrame([(k % 3, k) for k in range(40)], "k long, w long")
+    tables = {"few": few, "many": many, "more": more}
+    joins = [("many m", "f.k = m.k", how)] if how != "RIGHT" else [("few f", "m.k = f.k", how)]
+    source = "few f" if how != "RIGHT" else "many m"
+    spec = {"select": ["f.name", "m.id", "o.w"], "from": source, "joins": [*joins, ("more o", "f.k = o.k", "LEFT")]}
+    for name, df in tables.items():
+        df.createOrReplaceTempView(f"v_{name}")
+    on = f"v_few f {how} JOIN v_many m ON f.k = m.k" if how != "RIGHT" else "v_many m RIGHT JOIN v_few f ON m.k = f.k"
+    want = spark.sql(f"SELECT f.name, m.id, o.w FROM {on} LEFT JOIN v_more o ON f.k = o.k")
+    got = run_spec(tables, spec)
+    assert "__salt" in got._jdf.queryExecution().analyzed().toString() and got.columns == ["name", "id", "w"]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
 def test_having_on_output_name_and_limit_zero(tables):
