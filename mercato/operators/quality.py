@@ -22,7 +22,7 @@ from mercato.functions.names import initial, trim_to_null
 from mercato.functions.products import allergy_flag, allergy_is_valid
 from mercato.functions.temporal import date_prefix, mmss_micros, time_micros
 from mercato.operators.joins import orphans
-from mercato.schema import EXPECTED_ROWS, SURPLUS, TABLES, Table
+from mercato.schema import EXPECTED_ROWS, RECORD, SURPLUS, TABLES, UNCLOSED, Table
 
 REPORT_COLUMNS = ["table", "key", "column", "value", "rule", "message"]
 
@@ -99,8 +99,10 @@ class Rule:
 
 
 def violations(df: DataFrame, table: str, key: Column | str, rules: list[Rule]) -> DataFrame:
-    """One report row per (row, violated rule), in one pass over ``df``."""
+    """One report row per (row, violated rule), in one pass over ``df``. Messages name the row's number in
+    its file where ``df`` has it."""
     key_col = F.col(key) if isinstance(key, str) else key
+    row = F.concat(F.lit("row "), F.col(RECORD), F.lit(": ")) if RECORD in df.columns else F.lit("")
     if not rules:
         return df.sparkSession.createDataFrame([], "table string, key string, column string, value string, rule string, message string")
     cells = [
@@ -110,7 +112,7 @@ def violations(df: DataFrame, table: str, key: Column | str, rules: list[Rule])
                 F.lit(r.column).alias("column"),
                 F.col(r.column).cast("string").alias("value"),
                 F.lit(r.rule).alias("rule"),
-                F.lit(r.message).alias("message"),
+                F.concat(row, F.lit(r.message)).alias("message"),
             ),
         )
         for r in rules
@@ -153,10 +155,14 @@ def validate_text(df: DataFrame, file_name: str) -> DataFrame:
 
 
 def _surplus_rule(df: DataFrame) -> list[Rule]:
-    """Rows with more fields than the file has columns, where ``df`` has the first of them."""
-    if SURPLUS not in df.columns:
-        return []
-    return [Rule(SURPLUS, "malformed_row", F.col(SURPLUS).isNotNull(), "more fields than columns")]
+    """Rows with more fields than the file has columns, where ``df`` has the first of them, and rows of an
+    unclosed quote, where it says so."""
+    found = []
+    if SURPLUS in df.columns:
+        found.append(Rule(SURPLUS, "malformed_row", F.col(SURPLUS).isNotNull(), "more fields than columns"))
+    if UNCLOSED in df.columns:
+        found.append(Rule(UNCLOSED, "malformed_row", F.col(UNCLOSED), "a quote isn't closed"))
+    return found
 
 
 def validate_file(spark, path: str, file_name: str) -> DataFrame:
@@ -165,7 +171,7 @@ def validate_file(spark, path: str, file_name: str) -> DataFrame:
     from mercato.sources.csv import MissingFile, read_text_csv
 
     try:
-        df = read_text_csv(spark, path, (*read_text_csv(spark, path).columns, SURPLUS))
+        df = read_text_csv(spark, path, (*read_text_csv(spark, path).columns, SURPLUS), numbers=True)
     except MissingFile:
         return spark.createDataFrame(
             [(file_name, None, None, path, "missing_file", "file not found")],

@@ -158,6 +158,8 @@ EXPECTED_ROWS = {"countries": 206, "sales": 50_000}
 
 #: the column of a file row's first field beyond the table's columns
 SURPLUS = "_surplus"
+#: of a file's record: its first line, its number (both from 1), whether its quote isn't closed
+LINE, RECORD, UNCLOSED = "_line", "_record", "_unclosed"
 
 __all__ = [
     "Col",
@@ -166,4 +168,7 @@ __all__ = [
     "LOAD_ORDER",
     "EXPECTED_ROWS",
     "SURPLUS",
+    "LINE",
+    "RECORD",
+    "UNCLOSED",
 ]

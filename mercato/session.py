@@ -6,8 +6,12 @@ entry points (bench, tests, examples) that own the session.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,8 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - remote session: the server's spark.checkpoint.dir applies
-        return spark.conf.get("spark.checkpoint.dir", None) or ""
+    except Exception as e:  # noqa: BLE001 - remote session: the server's spark.checkpoint.dir applies
+        remote = spark.conf.get("spark.checkpoint.dir", None)
+        if not remote:
+            raise RuntimeError("spark.checkpoint.dir is not set on the server") from e
+        return remote
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -53,10 +60,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/ABFS) for this cluster"
         )
     local_dir = tempfile.mkdtemp(prefix="mercato-ck-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir()
+
+
+_SCRATCH: dict[str, SparkSession] = {}  # folders made by scratch() and not discarded yet
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the session's shared checkpoint folder. What is there is removed by
+    :func:`discard`, at the latest when the program ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH[path] = spark
+    return path
+
+
+def discard(path: str) -> None:
+    """Remove a folder that :func:`scratch` named, by the file system that it lies on."""
+    spark = _SCRATCH.pop(path, None)
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path in list(_SCRATCH):
+        discard(path)
