@@ -43,6 +43,7 @@ def _hms_micros(hours: Column, parts: Column, first: int, size_ok: Column) -> Co
     micros = _fraction_micros(F.get(sec_parts, 1))
     ok = (
         size_ok
+        & (F.size(sec_parts) <= 2)
         & hours.between(0, 23)
         & minutes.between(0, 59)
         & seconds.between(0, 59)

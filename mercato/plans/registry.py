@@ -147,3 +147,8 @@ QUERIES.update(
         "o2_first_customers": lambda spark, d: load_star(spark, d).customers.orderBy("CustomerID").limit(5),
     }
 )
+
+from mercato.plans import files, files_sql  # noqa: E402
+
+QUERIES.update(files.QUERIES)
+ORACLE_SQL.update(files_sql.QUERIES)
