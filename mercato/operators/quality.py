@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -391,6 +391,56 @@ def load_csv_table(spark, csv_path: str, table: str, out_path: str, level: str =
     return {"table": table, "rows": n, "rejected": bad}
 
 
+#: in a loaded state: whether the row broke a rule
+REJECTED = "_rejected"
+
+
+def load_csv_snapshot(spark, csv_path: str, table: str, path: str, level: str = "conform", max_fraction: float = 0.1):
+    """CSV -> checked, typed state of the table at ``path``, replaced as a whole.
+
+    One pass: the file is read once and written once, good rows and rejects side by side (partitioned by
+    ``_rejected``), while the rows are counted. Only when at most ``max_fraction`` of them are rejected does
+    the new state become the current one (:mod:`mercato.sources.snapshots`). A load that fails or dies at any
+    point leaves the old state, its rows and rejects together. Read with :func:`loaded_rows` and
+    :func:`loaded_rejects`.
+    """
+    from mercato.sources import snapshots
+    from mercato.sources.csv import read_table_csv
+
+    bad = F.size("errors") > 0
+    flagged = conform(read_table_csv(spark, csv_path, table, surplus=True), table, level).withColumn(REJECTED, bad)
+    counts = Observation()
+    watched = flagged.observe(counts, F.count(F.lit(1)).alias("n"), F.count_if(F.col(REJECTED)).alias("bad"))
+    folder = snapshots.new_state(path)
+    # an empty file has a state too
+    watched.write.partitionBy(REJECTED).parquet(f"{folder}")
+    n, rejected = counts.get["n"], counts.get["bad"]
+    if rejected > max_fraction * n:
+        raise TooManyErrors(f"too many errors: {rejected} of {n} rows")
+    return {"table": table, "rows": n, "rejected": rejected, "state": snapshots.switch(spark, path, folder)}
+
+
+def _loaded(spark, path: str, table: str) -> DataFrame:
+    from mercato.sources import snapshots
+
+    folder = snapshots.current(spark, path)
+    if folder is None:
+        raise ValueError(f"nothing was loaded at {path!r}")
+    text = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*TABLES[table].column_names, SURPLUS, UNCLOSED])).withColumn(UNCLOSED, F.lit(False))
+    schema = conform(text, table).schema.add(REJECTED, "boolean")
+    return spark.read.schema(schema).parquet(folder)
+
+
+def loaded_rows(spark, path: str, table: str) -> DataFrame:
+    """Good rows of the current state of :func:`load_csv_snapshot`; the rejects' files aren't read."""
+    return _loaded(spark, path, table).where(~F.col(REJECTED)).drop("errors", "raw", REJECTED)
+
+
+def loaded_rejects(spark, path: str, table: str) -> DataFrame:
+    """Rejects of the current state with their errors and their text as read."""
+    return _loaded(spark, path, table).where(F.col(REJECTED)).drop(REJECTED)
+
+
 # ---------------------------------------------------------------------------- keys and schema
 def duplicate_keys(df: DataFrame, table: str | Table) -> DataFrame:
     """Primary-key and unique-key values held by more than one row: ``(table, constraint, key, n)``.

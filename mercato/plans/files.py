@@ -10,6 +10,7 @@ from mercato.functions.frames import nan_to_null
 from mercato.functions.names import initial, trim_to_null
 from mercato.functions.temporal import date_prefix, mmss_micros, time_micros
 from mercato.operators import quality
+from mercato.operators.key_index import KeyIndex
 from mercato.plans.dirty import _every, products_text, sales_text
 from mercato.schema import TABLES
 from mercato.session import scratch
@@ -162,6 +163,49 @@ def loaded_customers(star: Star) -> DataFrame:
     return good.unionByName(spark.read.parquet(f"{at}/out_rejects").select(*names, F.array_join("errors", ",").alias("errors")))
 
 
+def replaced_customers(star: Star) -> DataFrame:
+    """Two loads into one table and a third that fails its gate: rows and rejects of the second (S5, Q7)."""
+    spark = star.customers.sparkSession
+    at, text = scratch(spark, "csv-replace"), customers_text(star).where("CustomerID % 31 <> 0")
+    loads = [text.where("CustomerID % 2 = 0"), text, text.withColumn("CityID", F.lit("x"))]
+    for i, rows in enumerate(loads):
+        write_csv(rows.select(*TABLES["customers"].file_columns), f"{at}/load{i}/customers.csv")
+        try:
+            quality.load_csv_snapshot(spark, f"{at}/load{i}/customers.csv", "customers", f"{at}/table")
+        except quality.TooManyErrors:
+            if i < 2:
+                raise
+    names = TABLES["customers"].column_names
+    good = quality.loaded_rows(spark, f"{at}/table", "customers").select(*names, F.lit("").alias("errors"))
+    return good.unionByName(quality.loaded_rejects(spark, f"{at}/table", "customers").select(*names, F.array_join("errors", ",").alias("errors")))
+
+
+# ------------------------------------------------------------------------------------ arriving batches
+def two_batch_duplicates(star: Star) -> DataFrame:
+    """Sales keys of more than one row, from an index that got the sales in two batches, the second twice (Q17)."""
+    spark = star.sales.sparkSession
+    index = KeyIndex(spark, scratch(spark, "sales-keys"), ["SalesID"])
+    odd = F.col("ProductID") % 2 == 1  # lines of one key fall into either batch
+    for batch, rows in (("a", star.sales.where(odd)), ("b", star.sales.where(~odd)), ("b", star.sales.where(~odd))):
+        index.add(rows, batch)
+    return index.duplicates().select(F.col("key").cast("long").alias("SalesID"), "n")
+
+
+def two_batch_orphans(star: Star) -> DataFrame:
+    """References of arriving sales to products that no batch of products has brought: after the first batch of
+    products, and after the second (J8)."""
+    spark = star.sales.sparkSession
+    index = KeyIndex(spark, scratch(spark, "product-keys"), ["ProductID"])
+    found = []
+    for batch, rows in (("1", star.products.where("ProductID % 3 <> 0")), ("2", star.products.where("ProductID % 3 = 0 AND ProductID % 5 <> 0"))):
+        index.add(rows, batch)
+        missing = index.missing(star.sales.select("ProductID")).select(F.lit(int(batch)).alias("batch"), F.col("key").cast("long").alias("ProductID"), "n")
+        path = scratch(spark, "orphans")
+        missing.write.parquet(path)  # as the index was after this batch
+        found.append(spark.read.parquet(path))
+    return _union(found)
+
+
 # -------------------------------------------------------------------------------------- row functions
 def null_tokens(star: Star) -> DataFrame:
     """Text that is null by its token and text that isn't (S3)."""
@@ -211,6 +255,9 @@ QUERIES = {
     "s1_s2_csv_records": run(csv_records),
     "s3_null_tokens": run(null_tokens),
     "s5_q7_load_customers": run(loaded_customers),
+    "s5_q7_replaced_customers": run(replaced_customers),
+    "q17_two_batch_duplicates": run(two_batch_duplicates),
+    "j8_two_batch_orphans": run(two_batch_orphans),
     "q1_q5_s7_validated_folder": run(validated_folder),
     "q4_validator_files": run(validator_files),
     "q8_conform_entities": run(conformed_entities),

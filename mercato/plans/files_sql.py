@@ -129,16 +129,24 @@ _TIME = """CASE WHEN k % 17 = 0 THEN NULL WHEN k % 13 = 0 THEN '' WHEN k % 11 =
   WHEN k % 5 = 0 THEN '14:' || lpad(CAST(k % 60 AS VARCHAR), 2, '0') || ':59' WHEN k % 3 = 0 THEN '7:5.1234567'
   ELSE (k % 60) || ':' || lpad(CAST(k % 59 AS VARCHAR), 2, '0') || '.' || (k % 10) END"""
 
+_LOADED = with_star(
+    f"""SELECT CAST(CustomerID AS BIGINT) AS CustomerID, FirstName, MiddleInitial, trim(LastName) AS LastName,
+  CASE WHEN Address NOT IN ('NA', '') THEN Address END AS Address, TRY_CAST(CityID AS BIGINT) AS CityID,
+  concat_ws(',', CASE WHEN FirstName IS NULL THEN 'FirstName:required' END, CASE WHEN CityID = 'x1' THEN 'CityID:type' END) AS errors
+FROM {TEXTS["customers"]} WHERE CAST(CustomerID AS BIGINT) % 31 <> 0"""
+)
+
 QUERIES = {
     "s1_s2_csv_records": with_star(_RECORDS),
     "s3_null_tokens": with_star(
         """SELECT CustomerID, CASE CustomerID % 9 WHEN 4 THEN 'null' WHEN 5 THEN ' NA' WHEN 6 THEN 'n/a' WHEN 7 THEN 'None' WHEN 8 THEN 'x' END AS texto FROM customers"""
     ),
-    "s5_q7_load_customers": with_star(
-        f"""SELECT CAST(CustomerID AS BIGINT) AS CustomerID, FirstName, MiddleInitial, trim(LastName) AS LastName,
-  CASE WHEN Address NOT IN ('NA', '') THEN Address END AS Address, TRY_CAST(CityID AS BIGINT) AS CityID,
-  concat_ws(',', CASE WHEN FirstName IS NULL THEN 'FirstName:required' END, CASE WHEN CityID = 'x1' THEN 'CityID:type' END) AS errors
-FROM {TEXTS["customers"]} WHERE CAST(CustomerID AS BIGINT) % 31 <> 0"""
+    "s5_q7_load_customers": _LOADED,
+    "s5_q7_replaced_customers": _LOADED,
+    "q17_two_batch_duplicates": with_star("SELECT SalesID, COUNT(*) AS n FROM sales GROUP BY SalesID HAVING COUNT(*) > 1"),
+    "j8_two_batch_orphans": with_star(
+        """SELECT 1 AS batch, ProductID, COUNT(*) AS n FROM sales WHERE ProductID % 3 = 0 GROUP BY ProductID
+UNION ALL SELECT 2, ProductID, COUNT(*) FROM sales WHERE ProductID % 15 = 0 GROUP BY ProductID"""
     ),
     "q1_q5_s7_validated_folder": with_star(f"SELECT * FROM ({_FOLDER}) x"),
     "q4_validator_files": with_star("\nUNION ALL\n".join(_report(t) for t in _RULES if t != "sales")),
