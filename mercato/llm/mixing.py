@@ -4,9 +4,10 @@ Each source's words are packed, document after document in a fixed pseudorandom
 a fixed length. The mix is a list of slots in output shards: every shard draws its source counts from
 a multinomial of the target weights, a source's draws are numbered over the shards, and draw ``j``
 takes the block at place ``j`` of pseudorandom permutations of that source's block numbers, one after
-another. So a block is never used again before all blocks of its source have been used. Multinomial
-noise would leave a source some draws above or below its quota: draws beyond a quota are handed, in
-order, to the sources that miss some. Blocks and slots meet by (source, block number).
+another. So a block is never used again before all blocks of its source have been used. The draws key the
+permutations: they decide how many of a shard's slots each source fills, and which blocks fill them.
+Multinomial noise would leave a source some draws above or below its quota: draws beyond a quota are handed,
+in order, to the sources that miss some. Blocks and slots meet by (source, block number).
 
 The targets need one small row per source on the driver; documents, blocks and slots stay distributed.
 """
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.llm.common import WORD, materialise, prefix_positions, text_or_empty
@@ -28,7 +29,11 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # words of the mix over words of the corpus
 MOST = 2.0  # of a source's size
 BLOCK_WORDS = 64
+#: for a mix that is to be read: no text is cut into shorter stretches, but at a document's end
+TEXT_BLOCK_WORDS = 256
 SHARD_SLOTS = 16_384
+#: slots that a task maps
+SLOTS_A_TASK = 500_000
 SEED = 20_260_101
 
 
@@ -128,9 +133,9 @@ def slots(spark, per: pd.DataFrame, block_words: int, shard_slots: int, seed: in
         spark.range(shards).mapInPandas(draw, "shard long, source_ix int, drawn long").where("drawn > 0"), "mix-draws"
     )
     numbered = prefix_positions(counts, "source_ix", ["shard"], F.col("drawn"), "first")
-    got = np.zeros(len(per), np.int64)  # one row per source
-    for row in counts.groupBy("source_ix").agg(F.sum("drawn").alias("n")).collect():
-        got[row["source_ix"]] = row["n"]
+    got, keys = np.zeros(len(per), np.int64), np.zeros(len(per), np.int64)  # one row per source
+    for row in counts.groupBy("source_ix").agg(F.sum("drawn").alias("n"), F.bit_xor(F.xxhash64("shard", "drawn")).alias("key")).collect():
+        got[row["source_ix"]], keys[row["source_ix"]] = row["n"], row["key"] & ((1 << 40) - 1)
     spare, short = np.maximum(got - quota, 0), np.maximum(quota - got, 0)
     spare_at, short_at = np.cumsum(spare) - spare, np.cumsum(short)
 
@@ -150,10 +155,12 @@ def slots(spark, per: pd.DataFrame, block_words: int, shard_slots: int, seed: in
                     epoch[own] = j[own] // blocks[s]
                     for e in np.unique(epoch[own]):
                         at = own & (epoch == e)
-                        block[at] = permute(j[at] % blocks[s], int(blocks[s]), seed + 1009 * int(s) + int(e))
+                        block[at] = permute(j[at] % blocks[s], int(blocks[s]), seed + int(keys[s]) + 1009 * int(s) + int(e))
                 yield pd.DataFrame({"shard": shard, "source_ix": to.astype(np.int32), "block": block, "epoch": epoch})
 
-    return numbered.select("shard", "source_ix", "drawn", "first").mapInPandas(
+    # the few draws become many slots: dealt out before, by shard
+    tasks = -(-total // SLOTS_A_TASK)
+    return numbered.select("shard", "source_ix", "drawn", "first").repartition(tasks, "shard").mapInPandas(
         take, "shard long, source_ix int, block long, epoch int"
     )
 
@@ -179,40 +186,57 @@ def mix_sources(
 
 
 def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``placed`` with the column taken: words of the document in the mix, repeats counted."""
-    taken = pieces.groupBy("source_ix", "at").agg(F.sum("length").alias("taken"))
+    """``placed`` with the columns taken (words of the document in the mix, repeats counted) and first_shard
+    (the first output shard that has some of them; null: none)."""
+    taken = pieces.groupBy("source_ix", "at").agg(F.sum("length").alias("taken"), F.min("shard").alias("first_shard"))
     some = placed.where("size > 0").join(taken, ["source_ix", "at"], "left")
-    none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    none = placed.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_shard": F.lit(None).cast("long")})
     return some.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).unionByName(none)
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: for each pass over a source's blocks (epoch), a
-    row for every document that it takes words of, whose text is those words with the white space after
-    them (the whole text if all are taken), and n_chars, if there, its length. Texts without words are
-    not in a mix. Of rows that repeat doc_id, source and text, the first takes the words of all."""
-    placed, pieces = mix_sources(docs)
-    spans = pieces.groupBy("source_ix", "at", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__spans"))
-    spans = spans.join(placed.where("size > 0").select("source_ix", "at", "doc_id", "source", "text_hash", "size"), ["source_ix", "at"]).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "__spans"
+    row for every contiguous stretch of words that it takes of a document, whose text is those words with the
+    white space after them (the whole text if all are taken), and n_chars, if there, its length. No text holds
+    words that didn't follow each other.
+
+    Null and wordless texts are not in a mix; an empty table gives no rows. Of rows that repeat doc_id, source
+    and text, one (by a hash of its columns) takes the words of all. Columns may have any names but those that
+    begin with ``__mix_``.
+    """
+    placed, pieces = mix_sources(docs, block_words)
+    # of the mix a document's spans, narrow, meet its text
+    spans = pieces.groupBy("source_ix", "at", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__mix_spans"))
+    spans = spans.join(placed.where("size > 0").select("source_ix", "at", "doc_id", "source", "text_hash"), ["source_ix", "at"]).select(
+        F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("text_hash").alias("__mix_hash"), "__mix_spans"
     )
-    columns, keyed = docs.columns, docs.withColumn("__text_hash", F.xxhash64(text_or_empty(docs)))
+    columns = docs.columns
+    keyed = docs.withColumn("__mix_text", F.xxhash64(text_or_empty(docs)))
     if placed.groupBy("doc_id", "source", "text_hash").count().where("count > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["doc_id", "source", "__text_hash"])
-    same = keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & keyed["source"].eqNullSafe(F.col("__source")) & (F.col("__text_hash") == F.col("__hash"))
-    taken = keyed.join(spans, same).select(*columns, "__spans")
+        hashable = [c for c, kind in docs.dtypes if "map<" not in kind]
+        nth = F.row_number().over(Window.partitionBy("doc_id", "source", "__mix_text").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in hashable])))
+        keyed = keyed.withColumn("__mix_nth", nth).where("__mix_nth = 1").drop("__mix_nth")
+    same = keyed["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")) & keyed["source"].eqNullSafe(F.col("__mix_source"))
+    taken = keyed.join(spans, same & (F.col("__mix_text") == F.col("__mix_hash"))).select(*columns, "__mix_spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column("text"), lower=False):
-                rows, texts = batch.slice(chunk.first, chunk.docs), []
+                rows, of, texts = batch.slice(chunk.first, chunk.docs), [], []
                 # a word's piece runs to the next word; the first one has what comes before it
-                for i, spans in enumerate(rows.column("__spans").to_pylist()):
+                for i, spans in enumerate(rows.column("__mix_spans").to_pylist()):
                     first, last = int(chunk.word_at[i]), int(chunk.word_at[i + 1])
                     edges = np.append(chunk.starts[first:last], chunk.at[i + 1])
                     edges[0] = chunk.at[i]
-                    parts = [chunk.data[edges[s["start"]] : edges[s["start"] + s["length"]]].tobytes() for s in spans]
-                    texts.append(b"".join(parts).decode("utf-8", "replace"))
+                    stretches: list[list[int]] = []
+                    for s in spans:
+                        if stretches and stretches[-1][1] == s["start"]:
+                            stretches[-1][1] += s["length"]
+                        else:
+                            stretches.append([s["start"], s["start"] + s["length"]])
+                    texts += [chunk.data[edges[a] : edges[b]].tobytes().decode("utf-8", "replace") for a, b in stretches]
+                    of += [i] * len(stretches)
+                rows = rows.take(pa.array(of, pa.int64()))
                 arrays = [pa.array(texts, pa.string()) if c == "text" else rows.column(c) for c in columns]
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
 

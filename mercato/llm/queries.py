@@ -30,7 +30,7 @@ def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, pieces = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mixing.taken_words(placed, pieces).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(placed, pieces).select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,3 +233,37 @@ def test_whitened_embeddings(spark):
     assert whitening.whitened_embeddings(table.where("vec_id = 306")).count() == 0  # one vector varies in nothing
     huge = whitening.whitened_embeddings(spark.createDataFrame([(1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [5.0, 1e12])], "vec_id long, embedding array<double>"))
     assert huge.where("component = 1").count() == 3 and huge.schema["deviation"].dataType.precision == 38
+
+
+# --------------------------------------------------------------------------------------------- mixing
+def test_the_draws_decide_the_mix(spark):
+    from mercato.llm import mixing
+
+    texts = [(i, " ".join(f"d{i}w{k}" for k in range(40 + i % 90))) for i in range(160)]
+    docs = spark.createDataFrame([(i, t, f"s{i % 5}", 0) for i, t in texts], "doc_id long, text string, source string, n_chars long")
+    one, same, other = (mixing.taken_words(*mixing.mix_sources(docs, 16, size)).collect() for size in (64, 64, 100))
+    taken = lambda rows: {r["doc_id"]: (r["taken"], r["first_shard"]) for r in rows}
+    assert taken(one) == taken(same) and {i: t for i, (t, _) in taken(one).items()} != {i: t for i, (t, _) in taken(other).items()}
+    for rows in (one, other):
+        for source in {r["source"] for r in rows}:
+            own = [r for r in rows if r["source"] == source]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 16 and all(r["taken"] <= 2 * r["size"] for r in own)
+
+
+def test_mixed_texts_are_stretches_of_their_documents(spark):
+    from mercato.llm import mixing
+
+    texts = {i: "\t".join(f"d{i}w{k} " for k in range(30 + i * 7)) for i in range(40)}
+    rows = [(i, t, "ab"[i % 2], 5) for i, t in texts.items()] + [(100, None, "a", 0), (101, " \n", "b", 2), (7, texts[7], "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    mixed = mixing.mixed_documents(docs, 16).collect()
+    assert all(r["text"] in texts[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in mixed)
+    whole = mixing.taken_words(*mixing.mix_sources(docs, 16)).collect()
+    want = Counter()
+    for r in whole:
+        want[r["doc_id"]] += r["taken"]
+    got = Counter()
+    for r in mixed:
+        got[r["doc_id"]] += len(r["text"].split())
+    assert +got == +want
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
