@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.llm import digest_index, jaccard, mixing, packing, toxicity
-from mercato.llm.common import materialise, table
+from mercato.llm.common import done_with, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +28,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, once for each time that the mix takes words of them."""
-    return mixing.mixed_documents(docs)
+    """The documents of the mix: a row for each contiguous stretch that the mix takes of one. A null or wordless
+    text isn't in the mix; of an empty table nothing is left."""
+    return mixing.mixed_documents(docs, mixing.TEXT_BLOCK_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences (a null text is packed as an empty one, that is as the id 1)."""
     return packing.pack_documents(docs)
 
 
@@ -44,12 +45,13 @@ STAGES = [
     ("mixing", mix),
     ("packing", pack),
 ]
-#: SQL can't express the classifier, the mix and the tokenizer; tests check the stages by brute force
+#: SQL can't express the classifier, the mix and the tokenizer; tests/llm/test_pipeline.py says every stage in plain Python
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "corpus-" + name.replace(" ", "-"))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), "corpus-" + name.replace(" ", "-"))
+        done_with(before)
     return STAGES[-1][1](spark, docs, sf_dir)
