@@ -113,12 +113,14 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
     )
 
 
-def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER, ordered: bool = False) -> DataFrame:
     """Read conversations back from :func:`format_chats`'s ids and masks alone, as digests.
 
     Returns per conversation: conv_id, n_turns, turns_sha256 (over role, line feed, text, line feed
     per turn), loss_chars and loss_sha256 (of the unescaped text under the mask), formatted_chars.
-    The digests take the turns in order, as they stream by.
+    The digests take the turns in order, as they stream by; a table that lost :func:`format_chats`'s
+    order (by conv_id and seq in a partition) is dealt out and sorted; ``ordered`` says that it has it still. A null conv_id is one
+    conversation; an empty table gives no rows; other columns are ignored.
     """
     role_of = {i: name for name, i in ROLES.items()}
 
@@ -154,6 +156,9 @@ def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row(state), kinds)], names=names)
 
-    return formatted.mapInArrow(
+    rows = formatted.select("conv_id", "seq", "ids", "loss_mask")
+    if not ordered:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return rows.mapInArrow(
         digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -21,7 +21,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.format_chats(rows))
+    return chat.read_back(chat.format_chats(rows), ordered=True)  # as the formatter left it
 
 
 def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,22 +129,27 @@ def _op6_spans(kind: str, ix: int, pattern: str, group: int, least: int) -> str:
 
 
 _W = secrets.WINDOW
+# of a window's text
 _BITS = "CASE " + " ".join(
-    f"WHEN regexp_matches(text, '{whole}') THEN CASE WHEN " + " AND ".join(f"regexp_matches(text, '{p}')" for p in parts) + f" THEN {bits} END"
+    f"WHEN regexp_matches(w, '{whole}') THEN CASE WHEN " + " AND ".join(f"regexp_matches(w, '{p}')" for p in parts) + f" THEN {bits} END"
     for _, whole, parts, bits in secrets.CLASSES
 ) + " END"
-_HARMLESS = " OR ".join(f"regexp_matches(text, '{p}')" for p in secrets.ALLOW)
+_HARMLESS = " OR ".join(f"regexp_matches(regexp_replace(stretch, '{secrets.LEADING}', ''), '{p}')" for p in secrets.ALLOW)
 _KINDS = ", ".join(f"'{k}'" for k in [kind for kind, *_ in secrets.BASE] + [secrets.ENTROPY])
 OP6_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS t FROM documents),
 {",".join(_op6_spans(kind, ix, pattern, group, least) for ix, (kind, pattern, group, least) in enumerate(secrets.BASE))},
 {_op6_spans("entropy", len(secrets.BASE), secrets.CANDIDATE, 0, 0)},
-e1 AS (SELECT uid, text, start, {_BITS} AS bits FROM entropy_f WHERE NOT ({_HARMLESS})),
-e2 AS (SELECT uid, start, list_filter(range(0, length(text) - {_W - 1}),
-    lambda i: list_entropy(string_split(substr(text, i + 1, {_W}), '')) >= bits) AS hot FROM e1 WHERE bits IS NOT NULL),
+e1 AS (SELECT uid, nth, start, text, unnest(range(0, length(text) - {_W - 1})) AS i FROM entropy_f),
+e2 AS (SELECT *, substr(text, CAST(i + 1 AS BIGINT), {_W}) AS w FROM e1),
+e3 AS (SELECT uid, nth, start, text, i FROM e2 WHERE list_entropy(string_split(w, '')) >= {_BITS}),
+e4 AS (SELECT *, sum(CASE WHEN i - before <= {_W} THEN 0 ELSE 1 END) OVER (PARTITION BY uid, nth ORDER BY i) AS island
+  FROM (SELECT *, lag(i) OVER (PARTITION BY uid, nth ORDER BY i) AS before FROM e3) x),
+e5 AS (SELECT uid, start + min(i) AS start, start + max(i) + {_W} AS fin, substr(any_value(text), CAST(min(i) + 1 AS BIGINT), CAST(max(i) - min(i) + {_W} AS BIGINT)) AS stretch
+  FROM e4 GROUP BY uid, nth, start, island),
 s AS (SELECT uid, start, fin, kind_ix FROM assign_f UNION ALL SELECT uid, start, fin, kind_ix FROM access_f
   UNION ALL SELECT uid, start, fin, kind_ix FROM hex_f
-  UNION ALL SELECT uid, start + list_min(hot), start + list_max(hot) + {_W}, {len(secrets.BASE)} FROM e2 WHERE len(hot) > 0),
+  UNION ALL SELECT uid, start, fin, {len(secrets.BASE)} FROM e5 WHERE NOT ({_HARMLESS})),
 n AS (SELECT uid, kind_ix, start, fin, ([{_KINDS}])[kind_ix + 1] || ':' || start || ':' || fin AS said FROM s),
 g AS (SELECT uid, count(*) FILTER (kind_ix = 0) AS n_assign, count(*) FILTER (kind_ix = 1) AS n_access,
   count(*) FILTER (kind_ix = 2) AS n_hex, string_agg(said, ',' ORDER BY start, kind_ix, fin) AS spans,

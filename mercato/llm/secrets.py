@@ -4,7 +4,10 @@ DataFrame expressions only. One scan of the texts keeps, per document and kind,
 between matches and the matches themselves; offsets are running sums over them. A candidate string is
 one row per character; the entropy of the window ending there follows from incremental counts: a
 character that enters raises its count from c - 1 to c and so the sum of c * log2(c) by f(c) - f(c - 1),
-and one that leaves lowers it likewise.
+and one that leaves lowers it likewise. Running counts of digits, cases and marks say which character class
+the window is of, and so which entropy is suspicious. Suspicious windows that touch make a stretch, and the
+allow-list is held against the stretch, not against what stands around it. Long candidates are dealt out in
+pieces that overlap by a window.
 """
 
 from __future__ import annotations
@@ -26,37 +29,49 @@ BASE = (("assign", ASSIGN, 2, 8), ("access", r"AKIA[A-Z0-9]{12,}", 0, 16), ("hex
 #: candidate strings, the sliding window, and bits a character that make a window suspicious
 WINDOW = 24
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-#: character classes, the narrowest first: pattern of the whole candidate, patterns that it must hold, bits
+#: windows of a candidate that are counted together
+PIECE = 4096
+#: character classes of a window, the narrowest first: what it may hold, what it must hold, and bits
 CLASSES = (
     ("hex", "^[0-9A-Fa-f]+$", ("[0-9]", "[A-Fa-f]"), 3.2),
+    ("lower", "^[0-9a-z]+$", ("[0-9].*[0-9].*[0-9]", "[a-z]"), 3.8),
+    ("upper", "^[0-9A-Z]+$", ("[0-9].*[0-9].*[0-9]", "[A-Z]"), 3.8),
     ("alnum", "^[0-9A-Za-z]+$", ("[0-9]", "[A-Z]", "[a-z]"), 3.9),
     ("base64", "^[A-Za-z0-9+/_=-]+$", ("[0-9]", "[A-Z]", "[a-z]"), 4.05),
 )
-#: harmless strings: placeholders, alphabets, UUIDs, dates in names
+#: harmless stretches: placeholders, alphabets, UUIDs, dates in names
 ALLOW = (
     r"(?i)example|sample|placeholder|dummy|changeme|your_|xxxx",
     r"(?i)abcdefgh|01234567|12345678",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"(19|20)[0-9][0-9]-[01][0-9]-[0-3][0-9]",
 )
+#: names before a stretch's first other character, as in a path or an assignment, aren't held against the allow-list
+LEADING = "^([a-z_-]*[/=])+"
 ENTROPY = "entropy"
 
 
-def _bits(candidate: Column) -> Column:
-    """The least entropy that makes a window of the candidate suspicious; null: never."""
-    out = F.lit(None).cast("double")
-    for _, whole, parts, bits in reversed(CLASSES):
-        out = F.when(candidate.rlike(whole), F.when(_all(candidate, parts), F.lit(bits))).otherwise(out)
-    harmless = candidate.rlike(ALLOW[0])
-    for pattern in ALLOW[1:]:
-        harmless = harmless | candidate.rlike(pattern)
-    return F.when(~harmless, out)
+#: what a character counts as, by pattern
+_COUNTED = {"digit": "[0-9]", "lower": "[a-z]", "upper": "[A-Z]", "hexletter": "[A-Fa-f]"}
+
+
+def _bits() -> Column:
+    """The least entropy that makes a window suspicious, by its counts of _COUNTED; null: never."""
+    digit, lower, upper, letter = (F.col(f"n_{c}") for c in _COUNTED)
+    bits = {name: b for name, _, _, b in CLASSES}
+    return (
+        F.when(digit + letter == WINDOW, F.when((digit > 0) & (letter > 0), bits["hex"]))
+        .when(digit + lower == WINDOW, F.when((digit > 2) & (lower > 0), bits["lower"]))
+        .when(digit + upper == WINDOW, F.when((digit > 2) & (upper > 0), bits["upper"]))
+        .when((digit > 0) & (lower > 0) & (upper > 0), F.when(digit + lower + upper == WINDOW, bits["alnum"]).otherwise(bits["base64"]))
+    )
 
 
-def _all(candidate: Column, parts: tuple[str, ...]) -> Column:
-    out = candidate.rlike(parts[0])
-    for p in parts[1:]:
-        out = out & candidate.rlike(p)
+def _harmless(text: Column) -> Column:
+    judged = F.regexp_replace(text, LEADING, "")
+    out = judged.rlike(ALLOW[0])
+    for pattern in ALLOW[1:]:
+        out = out | judged.rlike(pattern)
     return out
 
 
@@ -80,31 +95,50 @@ def _located(hits: DataFrame, kind: str, kept: list[Column]) -> DataFrame:
 
 
 def _entropy_spans(hits: DataFrame) -> DataFrame:
-    """Suspicious stretches (uid, start, end) of candidates: from the first window that reaches the bits
-    of the candidate's class to the last one."""
-    found = _located(hits, ENTROPY, [F.col("m.found").alias("text")]).withColumn("bits", _bits(F.col("text"))).where("bits is not null")
-    chars = found.select("uid", "nth", "start", "bits", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''")
-    same = Window.partitionBy("uid", "nth", "ch").orderBy("i")
+    """Stretches (uid, start, end) of suspicious windows that touch or overlap, those on the allow-list left out."""
+    found = _located(hits, ENTROPY, [F.col("m.found").alias("text")])
+    last = F.floor((F.char_length("text") - WINDOW) / PIECE).cast("int")
+    pieces = found.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("from", F.col("piece") * PIECE)
+    part = F.substring(F.col("text"), F.col("from") + 1, F.lit(PIECE + WINDOW - 1))
+    chars = pieces.select("uid", "nth", "piece", "from", F.posexplode(F.split(part, "")).alias("i", "ch")).where("ch <> ''")
+    same = Window.partitionBy("uid", "nth", "piece", "ch").orderBy("i")
     f = lambda c: c * F.log2(c)
     raised = lambda c: f(c) - F.when(c > 1, f(c - 1)).otherwise(0.0)
     entering = F.count(F.lit(1)).over(same.rangeBetween(1 - WINDOW, 0))
     leaving = F.count(F.lit(1)).over(same.rangeBetween(0, WINDOW - 1))
     steps = chars.withColumn("up", raised(entering.cast("double"))).withColumn("down", raised(leaving.cast("double")))
-    run = Window.partitionBy("uid", "nth").orderBy("i")
-    total = F.sum("up").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.coalesce(
-        F.sum("down").over(run.rowsBetween(Window.unboundedPreceding, -WINDOW)), F.lit(0.0)
-    )
-    windows = steps.withColumn("h", F.lit(math.log2(WINDOW)) - total / WINDOW).where((F.col("i") >= WINDOW - 1) & (F.col("h") >= F.col("bits")))
-    return windows.groupBy("uid", "nth", "start").agg(F.min("i").alias("a"), F.max("i").alias("b")).select(
-        "uid", (F.col("start") + F.col("a") - (WINDOW - 1)).alias("start"), (F.col("start") + F.col("b") + 1).alias("end")
-    )
+    run = Window.partitionBy("uid", "nth", "piece").orderBy("i")
+    upto, past = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(Window.unboundedPreceding, -WINDOW)
+    total = F.sum("up").over(upto) - F.coalesce(F.sum("down").over(past), F.lit(0.0))
+    counts = {}
+    for name, pattern in _COUNTED.items():
+        one = F.col("ch").rlike(pattern).cast("int")
+        counts[f"n_{name}"] = F.sum(one).over(upto) - F.coalesce(F.sum(one).over(past), F.lit(0))
+    windows = steps.withColumns({"h": F.lit(math.log2(WINDOW)) - total / WINDOW, **counts}).where(F.col("i") >= WINDOW - 1)
+    hot = windows.where(F.col("h") >= _bits()).select("uid", "nth", "piece", (F.col("from") + F.col("i") - (WINDOW - 1)).alias("a"))
+
+    def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Stretches (a to b, first window to last) of which those that touch become one."""
+        order = Window.partitionBy(*keys).orderBy("a")
+        fresh = F.coalesce(F.col("a") - F.lag("b").over(order) > WINDOW, F.lit(True)).cast("int")
+        island = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("fresh", fresh).withColumn("island", island)
+        return rows.groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
+
+    # in its piece first, so that a candidate's pieces meet as a few stretches each
+    stretches = joined(joined(hot.withColumn("b", F.col("a")), ["uid", "nth", "piece"]), ["uid", "nth"])
+    placed = stretches.join(found.select("uid", "nth", "start", "text"), ["uid", "nth"])
+    length = F.col("b") - F.col("a") + WINDOW
+    placed = placed.where(~_harmless(F.substring(F.col("text"), F.col("a").cast("int") + 1, length.cast("int"))))
+    return placed.select("uid", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("a") + length).alias("end"))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """Scan every text of ``docs`` (doc_id, text) for secrets.
 
     Returns a row per row: doc_id and spans, an array of (start, kind_ix, kind, end) by start, then
-    kind: assign, access, hex (the fixed patterns) and entropy. Offsets are code points, the end is
+    kind: assign, access, hex (the fixed patterns) and entropy. A candidate of any length is scanned whole, in
+    pieces; its suspicious stretches are spans of their own. Offsets are code points, the end is
     exclusive. Null and empty texts, and texts without a match, have no spans; repeated rows are
     scanned each. An empty table gives no rows. Other columns are ignored.
     """

@@ -267,3 +267,56 @@ def test_mixed_texts_are_stretches_of_their_documents(spark):
         got[r["doc_id"]] += len(r["text"].split())
     assert +got == +want
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------------------------------- secrets
+def test_entropy_by_window(spark):
+    import random
+
+    from mercato.llm import secrets
+
+    rnd = random.Random(11)
+    some = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    upper_hex, base36 = some("0123456789ABCDEF", 40), some("abcdefghijklmnopqrstuvwxyz0123456789", 48)
+    mixed = some("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", 40)
+    blob = some("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 30_000)
+    texts = [
+        "KEY=" + upper_hex, "id=" + upper_hex, "x " + base36 + " y", some("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 48), "/data/sample/" + mixed,
+        "plainwordsthatarejustlongenoughtomatter/" * 3, "EXAMPLE" + mixed[:24], "0" * 60, "550e8400-e29b-41d4-a716-446655440000", mixed + "a" * 80 + mixed[::-1],
+        "ä " + blob, "/usr/share/dictionaries/english-words/american-large.txt",
+    ]
+    out = {r["doc_id"]: r["spans"] for r in secrets.span_digests(secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+
+    def brute(text):
+        spans = []
+        for m in re.finditer(secrets.CANDIDATE, text):
+            hot = []
+            for i in range(m.start(), m.end() - secrets.WINDOW + 1):
+                w = text[i : i + secrets.WINDOW]
+                of = next(c for c in secrets.CLASSES if re.search(c[1], w))
+                h = -sum(n / len(w) * np.log2(n / len(w)) for n in Counter(w).values())
+                if all(re.search(p, w) for p in of[2]) and h >= of[3]:
+                    hot.append(i)
+            while hot:
+                k = next((k for k in range(1, len(hot)) if hot[k] - hot[k - 1] > secrets.WINDOW), len(hot))
+                a, b = hot[0], hot[k - 1] + secrets.WINDOW
+                if not any(re.search(p, re.sub(r"^([a-z_-]*[/=])+", "", text[a:b])) for p in secrets.ALLOW):
+                    spans.append(f"entropy:{a}:{b}")
+                hot = hot[k:]
+        return spans
+
+    for i, t in enumerate(texts):
+        assert [s for s in out[i].split(",") if s.startswith("entropy")] == brute(t), (i, t[:60])
+    found = [i for i in range(len(texts)) if "entropy" in out[i]]
+    assert {0, 1, 2, 3, 4, 9, 10} <= set(found) and not {5, 7, 8, 11} & set(found)
+    assert out[9].count("entropy") == 2 and out[10].endswith(":30002")
+
+
+# ---------------------------------------------------------------------------------------------- chats
+def test_chats_read_back_in_any_order(spark):
+    from mercato.llm import chat
+
+    rows = [(c, t, ["user", "assistant"][t % 2], f"turn {t} of {c} \\### Assistant: </turn>") for c in (1, 2, None) for t in range(5)]
+    formatted = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = sorted(map(repr, chat.read_back(formatted, ordered=True).collect()))
+    assert len(want) == 3 and sorted(map(repr, chat.read_back(formatted.repartition(3)).collect())) == want
