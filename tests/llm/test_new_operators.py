@@ -320,3 +320,26 @@ def test_chats_read_back_in_any_order(spark):
     formatted = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     want = sorted(map(repr, chat.read_back(formatted, ordered=True).collect()))
     assert len(want) == 3 and sorted(map(repr, chat.read_back(formatted.repartition(3)).collect())) == want
+
+
+# --------------------------------------------------------------------------------------- exact dedup
+def test_the_index_decides_and_batches_replace_themselves(spark, tmp_path, monkeypatch):
+    from mercato.llm import digest_index
+
+    rows = [(i, f"text {i % 13}" if i % 4 else None) for i in range(60)] + [(None, "text 1"), (59, "text 7"), (59, "text 7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(map(repr, digest_index.exact_dedup(docs, batches=1).collect()))
+    assert sorted(map(repr, digest_index.exact_dedup(docs, batches=3).collect())) == want
+    index = digest_index.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    high, low = docs.where("doc_id >= 30"), docs.where("doc_id < 30")
+    index.add(high, "b1")
+    once = sorted(map(repr, index.add(low, "b2").collect()))
+    n = index.entries().count()
+    assert sorted(map(repr, index.add(low, "b2").collect())) == once and index.entries().count() == n  # repeated: nothing changes
+    assert not any("kept=True" in r and "text" in r for r in once) or len(once) == 30
+    # an index that forgets what it got gives other results
+    plain = digest_index.DigestIndex.entries
+    monkeypatch.setattr(digest_index.DigestIndex, "entries", lambda self: plain(self).where("false"))
+    forgetful = digest_index.DigestIndex(spark, f"file://{tmp_path}/other", 4)
+    forgetful.add(high, "b1")
+    assert sorted(map(repr, forgetful.add(low, "b2").collect())) != once
