@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 
-from mercato.llm.textbatch import chunks, span_numbers
+from mercato.llm.textbatch import as_bytes, chunks, span_numbers
 
 CACHE_PIECES = 1_000_000
 #: pieces that the tokenizer encodes together: what it returns takes many times the ids' memory
@@ -70,14 +71,15 @@ class PieceEncoder:
         starts = np.flatnonzero(begins[:-1])
         ends = np.append(starts[1:], len(data))[: len(starts)]
         number, distinct = span_numbers(data, starts, ends)
-        pieces = distinct.to_pylist()
-        new = [p for p in pieces if p not in self.place]
+        pieces = as_bytes(distinct)
+        known = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(known < 0)
         if len(self.n) + len(new) > CACHE_PIECES and len(self.n):
             self._forget()
-            new = pieces
-        if new:
-            self._learn(new)
-        known = np.fromiter((self.place[p] for p in pieces), np.int64, len(pieces))
+            new = np.arange(len(pieces))
+        if len(new):
+            known[new] = np.arange(len(self.n), len(self.n) + len(new))
+            self._learn([pieces[i] for i in new.tolist()])
         n = self.n[known][number]
         total = np.cumsum(n)
         ids = self.ids[np.repeat(self.at[known][number] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
