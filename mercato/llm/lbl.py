@@ -40,6 +40,7 @@ NOISE = 64
 NEAR = 5  # noise units for a token, out of its class
 BLOCK = 1 << 16  # numbers of a model in a row
 BATCH = 4096
+COPY_TOKENS = 12  # tokens, for each unit of the model, that a copy of it learns from before copies are averaged
 RATE = 0.15
 FREQUENT = 1 << 22
 SEED = 7
@@ -60,13 +61,25 @@ def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lookup(keys: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each of ``found`` in ascending ``keys``, and whether it is there."""
+    """Place of each of ``found`` in ascending ``keys``, and whether it is there. Sought in ascending order, which
+    spares cache misses."""
     if not len(keys):
         return np.zeros(len(found), np.int64), np.zeros(len(found), bool)
-    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    order = np.argsort(found)
+    at = np.empty(len(found), np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, found[order]), len(keys) - 1)
     return at, keys[at] == found
 
 
+def chance(x: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """Counts (h, c) of all tokens of ``docs``, counted in each batch first."""
 
@@ -178,14 +191,20 @@ class Trainer:
         self.log_noise = np.log(NOISE * units.share).astype(np.float32)
         self.seen = 0
 
-    def _step(self, part: int, rows: np.ndarray, gradient: np.ndarray) -> None:
-        table, speed = self.model.parts[part], self.speed[part]
-        d = table.shape[1]
-        at, rows = np.unique(rows, return_inverse=True)
-        flat = (rows[:, None] * d + np.arange(d)).ravel()
-        total = np.bincount(flat, gradient.ravel(), len(at) * d).reshape(-1, d).astype(np.float32)
-        speed[at] += (total * total).mean(1, keepdims=True)
-        table[at] -= np.float32(RATE) * total / np.sqrt(speed[at])
+    def _step(self, rows: np.ndarray, *parts: tuple[int, np.ndarray]) -> None:
+        """One step for each of (part, gradients), whose gradients are for the same ``rows``."""
+        rows = rows.astype(np.int32)
+        order = np.argsort(rows)
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        at = rows[first]
+        for part, gradient in parts:
+            table, speed = self.model.parts[part], self.speed[part]
+            total = np.add.reduceat(gradient[order], first, axis=0, dtype=np.float32)
+            rate = speed[at] + (np.einsum("ij,ij->i", total, total) / total.shape[1])[:, None]
+            speed[at] = rate
+            total *= np.float32(RATE) / np.sqrt(rate)
+            table[at] -= total
 
     def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         self._classes(*(self.units.classes(x) for x in (target, one, two)))
@@ -200,14 +219,16 @@ class Trainer:
         r = a1[one] + a2[two]
         qt, qn = q[target], q[noise]
         # chance that a class came from the noise (targets) or the data (noise classes)
-        g_target = -1.0 / (1.0 + np.exp(np.clip((r * qt).sum(1) + b[target, 0] - self.log_noise[target], -30, 30)))
-        g_noise = 1.0 / (1.0 + np.exp(-np.clip(r @ qn.T + b[noise, 0] - self.log_noise[noise], -30, 30)))
+        g_target = -chance(self.log_noise[target] - b[target, 0] - np.einsum("ij,ij->i", r, qt))
+        s = r @ qn.T
+        s += b[noise, 0] - self.log_noise[noise]
+        g_noise = chance(s)
         back = g_target[:, None] * qt + g_noise @ qn
         rows = np.concatenate([target, noise])
-        self._step(0, one, back)
-        self._step(1, two, back)
-        self._step(2, rows, np.concatenate([g_target[:, None] * r, g_noise.T @ r]))
-        self._step(3, rows, np.concatenate([g_target, g_noise.sum(0)])[:, None])
+        self._step(one, (0, back))
+        self._step(two, (1, back))
+        vectors, biases = np.concatenate([g_target[:, None] * r, g_noise.T @ r]), np.concatenate([g_target, g_noise.sum(0)])[:, None]
+        self._step(rows, (2, vectors), (3, biases))
 
     def _units(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         e, d, u, b = self.model.parts[4:]
@@ -217,15 +238,15 @@ class Trainer:
         rows = np.concatenate([target[:, None], noise], 1)
         r, v = e[one] * d[0] + e[two] * d[1], u[rows]
         log_noise = np.log(NEAR / size).astype(np.float32)
-        s = np.clip(np.matmul(v, r[:, :, None])[:, :, 0] + b[rows, 0] - log_noise, -30, 30)
-        g = 1.0 / (1.0 + np.exp(-s))
+        s = np.einsum("nkd,nd->nk", v, r)
+        s += b[rows, 0] - log_noise
+        g = chance(s)
         g[:, 0] -= 1.0
-        back = np.matmul(g[:, None, :], v)[:, 0]
+        back = np.einsum("nk,nkd->nd", g, v)
         weights = np.stack([(back * e[one]).sum(0), (back * e[two]).sum(0)])
-        self._step(4, np.concatenate([one, two]), np.concatenate([back * d[0], back * d[1]]))
-        self._step(5, np.arange(2), weights)
-        self._step(6, rows.ravel(), (g[:, :, None] * r[:, None, :]).reshape(-1, DIMS))
-        self._step(7, rows.ravel(), g.reshape(-1, 1))
+        self._step(np.concatenate([one, two]), (4, np.concatenate([back * d[0], back * d[1]])))
+        self._step(np.arange(2), (5, weights))
+        self._step(rows.ravel(), (6, (g[:, :, None] * r[:, None, :]).reshape(-1, DIMS)), (7, g.reshape(-1, 1)))
 
 
 class Scorer:
@@ -251,15 +272,22 @@ class Scorer:
             low, high = self.units.span(of[cuts[:-1]])
             log_z = np.empty(len(at), np.float32)
             for x, y, lo, hi in zip(cuts[:-1], cuts[1:], low, high):
-                s = r[x:y] @ u[lo:hi].T + b[lo:hi, 0]
-                top = s.max(1, keepdims=True)
-                log_z[x:y] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
+                s = r[x:y] @ u[lo:hi].T
+                s += b[lo:hi, 0]
+                top = s.max(1)
+                s -= top[:, None]
+                np.exp(s, out=s)
+                log_z[x:y] = np.log(s @ np.ones(s.shape[1], np.float32)) + top
             out[at] += (r * u[own]).sum(1) + b[own, 0] - log_z
         return out
 
 
-def train(docs: DataFrame, units: Units) -> Model:
-    """The average, by tokens, of one model for each partition of ``docs``; every token is learned from."""
+def train(docs: DataFrame, units: Units, n: int) -> Model:
+    """The average, by tokens, of copies of the model that each learn from some partitions of ``docs``, which
+    has ``n`` tokens; every token is learned from. A copy is shipped as a whole, so there are only as many as
+    get COPY_TOKENS tokens a unit: what is shipped grows with the tokens, not with partitions x units."""
+    copies = max(1, n // (COPY_TOKENS * len(units.mass)))
+    docs = docs.select("text").coalesce(copies)
     shared = docs.sparkSession.sparkContext.broadcast(units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +317,7 @@ def train(docs: DataFrame, units: Units) -> Model:
         return pd.DataFrame({"p": [0], "block": [part["block"].iloc[0]], "seen": [seen], "v": [total.astype("<f4").tobytes()]})
 
     schema = "p long, block long, seen long, v binary"
-    models = docs.select("text").mapInArrow(run, schema)
+    models = docs.mapInArrow(run, schema)
     # added up in groups of about the square root of their number, so that no task gets all
     groups = max(1, math.isqrt(models.rdd.getNumPartitions()))
     added = models.groupBy("block", F.pmod("p", F.lit(groups))).applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
@@ -326,7 +354,7 @@ def score_documents(docs: DataFrame, fold: int = 1) -> DataFrame:
     for r in late.toLocalIterator():
         rest[r["cell"]] = r["m"]
     units = Units(keys, c, rest, HEADS)
-    shared = docs.sparkSession.sparkContext.broadcast((Scorer(units, train(training, units)), log_p))
+    shared = docs.sparkSession.sparkContext.broadcast((Scorer(units, train(training, units, n)), log_p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score, log_p = shared.value
