@@ -7,6 +7,7 @@ Times of day are held as LongType microseconds since 00:00 (portable: Spark's TI
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,44 +23,53 @@ def date_prefix(value: str | Column) -> Column:
     return F.try_to_date(F.substring_index(F.trim(col(value)), " ", 1), "yyyy-MM-dd")
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row, however often ``use`` names it. Written out, a value
+    that is split and split again is evaluated for each mention, and the code gets too long to be compiled."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _fraction_micros(frac: Column) -> Column:
     # fraction digits padded / cut to 6: '2' -> 200000, '1234567' -> 123456; must be digits
     return F.when(frac.isNull() | (frac == ""), F.lit(0)).otherwise(
-        F.when(frac.rlike("^[0-9]+$"), F.rpad(frac, 6, "0").cast("int"))
+        F.when(frac.rlike("^[0-9]+$"), F.rpad(frac, 6, "0").try_cast("int"))
     )
 
 
 def mmss_micros(value: str | Column) -> Column:
     """Parse ``MM:SS`` or ``MM:SS.f`` (minutes and seconds 0-59, fraction of any length) into
     microseconds since 00:00. Exactly one ``:`` is allowed; anything else gives null."""
-    parts = F.split(F.trim(col(value)), ":")
-    return _hms_micros(F.lit(0), parts, 0, size_ok=F.size(parts) == 2)
+    return _bind(F.split(F.trim(col(value)), ":"), lambda parts: F.when(F.size(parts) == 2, _hms_micros(F.lit(0), parts, 0)))
+
 
+def _hms_micros(hours: Column, parts: Column, first: int) -> Column:
+    """Of ``hours`` and the parts from ``first`` on, minutes and seconds."""
+    numbers = lambda sec_parts: F.struct(
+        F.size(sec_parts).alias("n"), hours.alias("hours"), F.get(parts, first).try_cast("int").alias("minutes"),
+        F.get(sec_parts, 0).try_cast("int").alias("seconds"), _fraction_micros(F.get(sec_parts, 1)).alias("micros"),
+    )
+    return _bind(_bind(F.split(F.get(parts, first + 1), r"\."), numbers), _total_micros)
 
-def _hms_micros(hours: Column, parts: Column, first: int, size_ok: Column) -> Column:
-    minutes = F.get(parts, first).try_cast("int")
-    sec_parts = F.split(F.get(parts, first + 1), r"\.")
-    seconds = F.get(sec_parts, 0).try_cast("int")
-    micros = _fraction_micros(F.get(sec_parts, 1))
+
+def _total_micros(t: Column) -> Column:
     ok = (
-        size_ok
-        & (F.size(sec_parts) <= 2)
-        & hours.between(0, 23)
-        & minutes.between(0, 59)
-        & seconds.between(0, 59)
-        & micros.isNotNull()
+        (t["n"] <= 2)
+        & t["hours"].between(0, 23)
+        & t["minutes"].between(0, 59)
+        & t["seconds"].between(0, 59)
+        & t["micros"].isNotNull()
     )
-    total = ((hours.cast("long") * 60 + minutes) * 60 + seconds) * _US_PER_SECOND + micros
-    return F.when(ok, total)
+    return F.when(ok, ((t["hours"].cast("long") * 60 + t["minutes"]) * 60 + t["seconds"]) * _US_PER_SECOND + t["micros"])
 
 
 def time_micros(value: str | Column) -> Column:
     """Parse a time of day given as ``MM:SS[.f]`` (two parts) or ``HH:MM:SS[.f]`` (three parts)."""
-    parts = F.split(F.trim(col(value)), ":")
-    n = F.size(parts)
-    two = _hms_micros(F.lit(0), parts, 0, size_ok=n == 2)
-    three = _hms_micros(F.get(parts, 0).try_cast("int"), parts, 1, size_ok=n == 3)
-    return F.when(n == 2, two).when(n == 3, three)
+
+    def parsed(parts: Column) -> Column:
+        three = _hms_micros(F.get(parts, 0).try_cast("int"), parts, 1)
+        return F.when(F.size(parts) == 2, _hms_micros(F.lit(0), parts, 0)).when(F.size(parts) == 3, three)
+
+    return _bind(F.split(F.trim(col(value)), ":"), parsed)
 
 
 def time_text(micros: str | Column) -> Column:

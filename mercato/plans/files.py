@@ -236,9 +236,11 @@ def parsed_times(star: Star) -> DataFrame:
         .when(k % 5 == 0, F.concat(F.lit("14:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(":59"))).when(k % 3 == 0, F.lit("7:5.1234567"))
         .otherwise(F.concat((k % 60).cast("string"), F.lit(":"), F.lpad((k % 59).cast("string"), 2, "0"), F.lit("."), (k % 10).cast("string")))
     )
-    blank = F.when(said.isNull() | (said == ""), F.lit(None)).otherwise
-    return star.sales.select(
-        "SalesID", "ProductID", said.alias("texto"), blank(mmss_micros(said)).alias("minutos"), blank(time_micros(said)).alias("hora")
+    texto = F.col("texto")
+    blank = F.when(texto.isNull() | (texto == ""), F.lit(None)).otherwise
+    # the text is a step of its own: Spark doesn't write it out again for each mention
+    return star.sales.select("SalesID", "ProductID", said.alias("texto")).select(
+        "SalesID", "ProductID", texto, blank(mmss_micros(texto)).alias("minutos"), blank(time_micros(texto)).alias("hora")
     )
 
 
