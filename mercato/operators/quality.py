@@ -23,6 +23,7 @@ from mercato.functions.products import allergy_flag, allergy_is_valid
 from mercato.functions.temporal import date_prefix, mmss_micros, time_micros
 from mercato.operators.joins import orphans
 from mercato.schema import EXPECTED_ROWS, RECORD, SURPLUS, TABLES, UNCLOSED, Table
+from mercato.session import scratch
 
 REPORT_COLUMNS = ["table", "key", "column", "value", "rule", "message"]
 
@@ -571,6 +572,9 @@ def validate_folder(spark, folder: str) -> tuple[DataFrame, DataFrame]:
     Returns ``(report, summary)``: the report rows of every file (a missing file is one
     ``missing_file`` row) and one summary row per file with its problem count and first five
     problems, plus the run's total problems and the number of files read.
+
+    The report is written once to the session's shared folder and read from there: the files are read for
+    it alone, not again for the summary's counts and first problems.
     """
     import os
 
@@ -578,6 +582,9 @@ def validate_folder(spark, folder: str) -> tuple[DataFrame, DataFrame]:
     report = reports[0]
     for r in reports[1:]:
         report = report.unionByName(r)
+    path = scratch(spark, "folder-report")
+    report.write.parquet(path)
+    report = spark.read.schema(report.schema).parquet(path)
     files = spark.createDataFrame([(name,) for name in VALIDATION], "table string")
     missing = report.filter(F.col("rule") == "missing_file").select("table", F.lit(True).alias("missing"))
     per_file = (
