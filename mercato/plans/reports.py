@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.money import money_text_es, net_value, segment_label
 from mercato.functions.names import full_name_sql
+from mercato.operators.joins import has_at_most
 from mercato.operators.windows import Numbering, numbered, top_n_per_group
 from mercato.sources.star import Star
 
@@ -163,24 +164,30 @@ def customer_segments(star: Star, limit: int | None = 50) -> DataFrame:
 
 
 # --------------------------------------------------------------------------------------------- R5
+#: sellers, of an ID and a name each, that are broadcast to the sales view
+SELLER_ROWS = 1_000_000
+
+
 def sales_detail_view(star: Star) -> DataFrame:
     """One row per sale with product, category, customer (city, country) and seller details.
 
-    Sales without a seller are kept (left join). Dimension branches are joined first (the star's
-    small dimensions carry a broadcast hint only when their row-count check passed), then the fact
-    is joined once per dimension.
+    Sales without a seller are kept (left join). The fact is joined once per dimension, and what a join brings
+    is shuffled with the fact by every later one. So names are put together before they are joined, customers
+    come first (an order's lines, which lie together, stay together and compress), and what is broadcast, by a
+    row-count check, comes after the last shuffle. Sellers too many for that come before the wider dimensions.
     """
-    products = star.products.join(star.categories, "CategoryID")
-    customers = star.customers.join(star.cities, "CityID").join(star.countries, "CountryID")
-    e = star.employees.select(
-        F.col("EmployeeID"), F.col("FirstName").alias("e_first"), F.col("MiddleInitial").alias("e_mi"),
-        F.col("LastName").alias("e_last"),
-    )
-    joined = (
-        star.sales.join(products, "ProductID")
-        .join(customers, "CustomerID")
-        .join(e, F.col("SalesPersonID") == F.col("EmployeeID"), "left")
-    )
+    products = star.products.select("ProductID", "ProductName", "Price", "CategoryID").join(star.categories, "CategoryID")
+    name = full_name_sql("FirstName", "MiddleInitial", "LastName")
+    customers = star.customers.select("CustomerID", name.alias("c_name"), "CityID")
+    sellers = star.employees.select("EmployeeID", name.alias("e_name"))
+    few = has_at_most(sellers, SELLER_ROWS)
+
+    def with_sellers(sales: DataFrame) -> DataFrame:
+        return sales.join(F.broadcast(sellers) if few else sellers, F.col("SalesPersonID") == F.col("EmployeeID"), "left").drop("SalesPersonID")
+
+    sales = star.sales if few else with_sellers(star.sales)
+    sales = sales.join(customers, "CustomerID").join(products, "ProductID").join(star.cities, "CityID").join(star.countries, "CountryID")
+    joined = with_sellers(sales) if few else sales
     return joined.select(
         F.col("SalesID").alias("ID_Venta"),
         F.col("SalesDate").alias("Hora_Minutos_Segundos_Venta"),
@@ -189,11 +196,11 @@ def sales_detail_view(star: Star) -> DataFrame:
         F.col("CategoryID").alias("ID_Categoria"),
         F.col("CategoryName").alias("Nombre_Categoria"),
         F.col("CustomerID").alias("ID_Cliente"),
-        full_name_sql("FirstName", "MiddleInitial", "LastName").alias("Nombre_Completo_Cliente"),
+        F.col("c_name").alias("Nombre_Completo_Cliente"),
         F.col("CityName").alias("Ciudad_Cliente"),
         F.col("CountryName").alias("Pais_Cliente"),
         F.col("EmployeeID").alias("ID_Empleado_Vendedor"),
-        full_name_sql("e_first", "e_mi", "e_last").alias("Nombre_Completo_Empleado_Vendedor"),
+        F.col("e_name").alias("Nombre_Completo_Empleado_Vendedor"),
         F.col("Quantity").alias("Cantidad_Vendida"),
         F.col("Price").alias("Precio_Unitario_Producto_Lista"),
         F.col("Discount").alias("Descuento_Aplicado_Porcentaje"),

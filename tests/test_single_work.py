@@ -2,7 +2,7 @@
 
 from mercato.functions.temporal import mmss_micros, time_micros
 from mercato.operators import quality
-from mercato.plans import files
+from mercato.plans import files, reports
 from mercato.sources.records import read_records
 
 
@@ -10,6 +10,10 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_times_are_split_once_for_each_parser(spark, star):
     plan = optimized(files.parsed_times(star))
     assert plan.count("CASE WHEN ((SalesID") <= 1 and plan.count("7:5.1234567") == 1  # the text isn't written out for each mention
@@ -38,7 +42,7 @@ def test_lines_of_records_are_scanned_three_times_at_most(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,x\n1,"a\nb"\n2,y\n')
     found = read_records(spark, str(tmp_path))
     assert len(found.collect()) == 2
-    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    final = executed(found).split("Initial Plan")[0]
     # the splits' rows, the records, and the pieces across borders; the rest is read from an exchange again
     assert final.count("FileScan text") <= 3
 
@@ -64,3 +68,19 @@ def test_long_and_short_records_across_borders(spark, tmp_path):
         for n, v in zip(names, before):
             spark.conf.set(n, v)
     assert sorted(map(tuple, got)) == want
+
+
+def test_the_sales_view_shuffles_the_fact_narrow(spark, star, monkeypatch):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        shuffles = [x for x in executed(reports.sales_detail_view(star)).splitlines() if "Exchange hashpartitioning" in x]
+        assert not any("SalesPersonID" in x or "l_suppkey" in x and "CustomerID" in x for x in shuffles)  # few sellers: no shuffle for them
+        few = sorted(map(repr, reports.sales_detail_view(star).collect()))
+        monkeypatch.setattr(reports, "SELLER_ROWS", 0)
+        many = reports.sales_detail_view(star)
+        assert "hashpartitioning(SalesPersonID" in executed(many)
+        assert sorted(map(repr, many.collect())) == few and any("Vendedor=None" in r for r in few)
+    finally:
+        spark.conf.set(name, before)
