@@ -43,6 +43,10 @@ class KeyIndex:
         key = F.concat_ws("|", *[F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for t in texts]) if len(texts) > 1 else texts[0]
         return known.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
+    def _dealt(self, keys: DataFrame) -> DataFrame:
+        """``keys`` as the index's buckets lie: with another number of partitions Spark would shuffle the index."""
+        return keys.repartition(self.buckets, "key")
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -50,7 +54,7 @@ class KeyIndex:
         """Store the keys of batch ``batch``, in place of what that batch stored before."""
         if not batch or not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch id is letters, digits, - and _")
-        rows = self._keys(df).repartition(self.buckets, "key")
+        rows = self._dealt(self._keys(df))
         self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = '{batch}') SELECT `key`, n FROM {{rows}}", rows=rows)
 
     def duplicates(self) -> DataFrame:
@@ -61,10 +65,12 @@ class KeyIndex:
         """Keys of an arriving batch that it repeats itself or that other batches hold: key, n (its own rows),
         held (rows of other batches). Same before and after the batch is added."""
         others = self.table().where(F.col("batch") != batch).groupBy("key").agg(F.sum("n").alias("held"))
-        found = self._keys(df).join(others, "key", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+        found = self._dealt(self._keys(df)).join(others, "key", "left").withColumn("held", F.coalesce("held", F.lit(0)))
         return found.where("n > 1 OR held > 0")
 
     def missing(self, df: DataFrame) -> DataFrame:
         """Keys of ``df`` (the index's columns) that no batch holds, with their rows: key, n. For references:
         the index of the parent's key, and ``df`` the child's references under the parent's names."""
-        return self._keys(df).join(self.table().select("key"), "key", "left_anti")
+        # an anti-join would be moved before the keys are dealt
+        found = self._dealt(self._keys(df)).join(self.table().select("key", F.lit(True).alias("held")), "key", "left")
+        return found.where(F.col("held").isNull()).drop("held")
