@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,7 @@ NEAR = 5  # noise units for a token, out of its class
 BLOCK = 1 << 16  # numbers of a model in a row
 BATCH = 4096
 COPY_TOKENS = 12  # tokens, for each unit of the model, that a copy of it learns from before copies are averaged
+FEW = 8  # terms of a sum that is added up side by side with others
 RATE = 0.15
 FREQUENT = 1 << 22
 SEED = 7
@@ -60,17 +62,6 @@ def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def lookup(keys: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each of ``found`` in ascending ``keys``, and whether it is there. Sought in ascending order, which
-    spares cache misses."""
-    if not len(keys):
-        return np.zeros(len(found), np.int64), np.zeros(len(found), bool)
-    order = np.argsort(found)
-    at = np.empty(len(found), np.int64)
-    at[order] = np.minimum(np.searchsorted(keys, found[order]), len(keys) - 1)
-    return at, keys[at] == found
-
-
 def chance(x: np.ndarray) -> np.ndarray:
     """The logistic function, in place."""
     np.clip(x, -30, 30, out=x)
@@ -136,9 +127,15 @@ class Units:
         self.within = self.mass / share[self.classes(np.arange(len(mass)))]  # of each unit in its class
         self.share = share / share.sum()
 
+    @cached_property
+    def index(self) -> pd.Index:
+        """The frequent words' hash table; each worker makes its own."""
+        return pd.Index(self.keys)
+
     def find(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Units of word hashes, places among the frequent words, and whether they are there."""
-        place, known = lookup(self.keys, found)
+        place = self.index.get_indexer(found)
+        known = place >= 0
         cell = self.cell[cells(found, len(self.cell))]
         return (np.where(known, self.word[place], cell) if len(self.keys) else cell), place, known
 
@@ -178,6 +175,44 @@ class Model:
         return self
 
 
+class RowSums:
+    """The distinct ``rows``, as ``at``, and the sums over each of them of arrays whose rows lie like ``rows``.
+
+    Most sums have few terms, and one costs less than a step of reduceat: those of up to FEW terms are added up
+    side by side, falling by number of terms, so that a term's place is a slice. To the last bit the sums are
+    reduceat's over rows in order: the first term, and to it the sum of the others.
+    """
+
+    def __init__(self, rows: np.ndarray):
+        rows = rows.astype(np.int32)
+        order = np.argsort(rows)
+        rows = rows.take(order)
+        new = np.ones(len(rows) + 1, bool)
+        np.not_equal(rows[1:], rows[:-1], out=new[1:-1])
+        cuts = np.flatnonzero(new)
+        n = cuts[1:] - cuts[:-1]
+        rank = np.maximum(FEW + 1 - n, 0).astype(np.uint8)  # falls with the number of terms
+        by = np.argsort(rank, kind="stable")
+        first, n = cuts.take(by), n.take(by)
+        self.at = rows.take(first)
+        many, *ends = np.cumsum(np.bincount(rank, minlength=FEW + 1))[:FEW].tolist()  # sums of more than FEW, ..., 1 terms
+        self.many, self.first = many, order.take(first)
+        self.others = [order.take(first[many:end] + k) for k, end in enumerate(reversed(ends), 1) if end > many]
+        spans = [order[x : x + size] for x, size in zip(first[:many].tolist(), n[:many].tolist())]
+        self.spans, self.cuts = np.concatenate(spans) if spans else order[:0], np.cumsum(n[:many]) - n[:many]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        total, many = x.take(self.first, 0), self.many
+        if self.others:
+            rest = x.take(self.others[0], 0)
+            for other in self.others[1:]:
+                rest[: len(other)] += x.take(other, 0)
+            total[many : many + len(rest)] += rest
+        if many:
+            np.add.reduceat(x.take(self.spans, 0), self.cuts, axis=0, out=total[:many])
+        return total
+
+
 class Trainer:
     """Noise-contrastive estimation by Adagrad over mini-batches; the noise classes are a batch's, the
     noise units a token's."""
@@ -193,18 +228,17 @@ class Trainer:
 
     def _step(self, rows: np.ndarray, *parts: tuple[int, np.ndarray]) -> None:
         """One step for each of (part, gradients), whose gradients are for the same ``rows``."""
-        rows = rows.astype(np.int32)
-        order = np.argsort(rows)
-        rows = rows[order]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        at = rows[first]
+        sums = RowSums(rows)
         for part, gradient in parts:
-            table, speed = self.model.parts[part], self.speed[part]
-            total = np.add.reduceat(gradient[order], first, axis=0, dtype=np.float32)
-            rate = speed[at] + (np.einsum("ij,ij->i", total, total) / total.shape[1])[:, None]
-            speed[at] = rate
-            total *= np.float32(RATE) / np.sqrt(rate)
-            table[at] -= total
+            self._move(part, sums.at, sums(gradient))
+
+    def _move(self, part: int, at: np.ndarray, total: np.ndarray) -> None:
+        """One step of distinct rows by their gradients, which are overwritten."""
+        table, speed = self.model.parts[part], self.speed[part]
+        rate = speed.take(at, 0) + (np.einsum("ij,ij->i", total, total) / total.shape[1])[:, None]
+        speed[at] = rate
+        total *= np.float32(RATE) / np.sqrt(rate)
+        table[at] = np.subtract(table.take(at, 0), total, out=total)
 
     def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         self._classes(*(self.units.classes(x) for x in (target, one, two)))
@@ -216,8 +250,9 @@ class Trainer:
     def _classes(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         a1, a2, q, b = self.model.parts[:4]
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), len(q) - 1)
-        r = a1[one] + a2[two]
-        qt, qn = q[target], q[noise]
+        r = a1.take(one, 0)
+        r += a2.take(two, 0)
+        qt, qn = q.take(target, 0), q[noise]
         # chance that a class came from the noise (targets) or the data (noise classes)
         g_target = -chance(self.log_noise[target] - b[target, 0] - np.einsum("ij,ij->i", r, qt))
         s = r @ qn.T
@@ -236,17 +271,18 @@ class Trainer:
         size = (high - low)[:, None]
         noise = low[:, None] + (self.rng.random((len(target), NEAR)) * size).astype(np.int64)
         rows = np.concatenate([target[:, None], noise], 1)
-        r, v = e[one] * d[0] + e[two] * d[1], u[rows]
+        e1, e2, v = e.take(one, 0), e.take(two, 0), u.take(rows, 0)
+        r = e1 * d[0] + e2 * d[1]
         log_noise = np.log(NEAR / size).astype(np.float32)
         s = np.einsum("nkd,nd->nk", v, r)
-        s += b[rows, 0] - log_noise
+        s += b.take(rows) - log_noise
         g = chance(s)
         g[:, 0] -= 1.0
         back = np.einsum("nk,nkd->nd", g, v)
-        weights = np.stack([(back * e[one]).sum(0), (back * e[two]).sum(0)])
+        weights = np.stack([(back * e1).sum(0), (back * e2).sum(0)])
         self._step(np.concatenate([one, two]), (4, np.concatenate([back * d[0], back * d[1]])))
-        self._step(np.arange(2), (5, weights))
-        self._step(rows.ravel(), (6, (g[:, :, None] * r[:, None, :]).reshape(-1, DIMS)), (7, g.reshape(-1, 1)))
+        self._move(5, np.arange(2), weights)
+        self._step(rows.ravel(), (6, np.einsum("nk,nd->nkd", g, r).reshape(-1, DIMS)), (7, g.reshape(-1, 1)))
 
 
 class Scorer:
@@ -267,7 +303,7 @@ class Scorer:
         inside = inside[np.argsort(k[inside], kind="stable")]
         for i in range(0, len(inside), BATCH):
             at = inside[i : i + BATCH]
-            r, of, own = e[one[at]] * d[0] + e[two[at]] * d[1], k[at], target[at]
+            r, of, own = e.take(one[at], 0) * d[0] + e.take(two[at], 0) * d[1], k[at], target[at]
             cuts = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
             low, high = self.units.span(of[cuts[:-1]])
             log_z = np.empty(len(at), np.float32)
@@ -278,7 +314,7 @@ class Scorer:
                 s -= top[:, None]
                 np.exp(s, out=s)
                 log_z[x:y] = np.log(s @ np.ones(s.shape[1], np.float32)) + top
-            out[at] += (r * u[own]).sum(1) + b[own, 0] - log_z
+            out[at] += (r * u.take(own, 0)).sum(1) + b[own, 0] - log_z
         return out
 
 

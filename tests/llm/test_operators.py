@@ -301,6 +301,32 @@ def test_lm_units_are_normalised():
     assert np.allclose(inside + rest + 0.5, units.mass[units.cell]) and units.is_cell[of].tolist() == (c < lbl.LEAST).tolist()
 
 
+def test_lm_sums_of_few_rows_are_not_added_up_one_by_one():
+    rng = np.random.default_rng(3)
+    for rows in (rng.integers(0, 9000, 12000), rng.zipf(1.4, 4000) % 900, np.zeros(50, int), np.arange(7), np.repeat(np.arange(5), lbl.FEW)):
+        sums = lbl.RowSums(rows)
+        order = np.argsort(rows.astype(np.int32))
+        found, first, n = np.unique(rows[order], return_index=True, return_counts=True)
+        assert sorted(sums.at.tolist()) == found.tolist() and len(sums.cuts) == (n > lbl.FEW).sum()
+        for width in (1, lbl.DIMS):
+            x = rng.standard_normal((len(rows), width), np.float32)
+            out = np.empty((found[-1] + 1, width), np.float32)
+            out[sums.at] = sums(x)
+            assert np.array_equal(out[found], np.add.reduceat(x[order], first, axis=0))
+
+
+def test_lm_words_are_found_without_sorting_them():
+    rng = np.random.default_rng(4)
+    keys = np.sort(rng.integers(0, 1 << 64, 500, np.uint64))
+    for known in (keys, keys[:0]):
+        units = lbl.Units(known, np.full(len(known), 9), np.ones(16), heads=20)
+        found = np.concatenate([rng.permutation(keys), rng.integers(0, 1 << 64, 90, np.uint64), keys[:1] - 1, keys[-1:] + 1])
+        of, place, there = units.find(found)
+        assert there.tolist() == np.isin(found, known).tolist() and np.array_equal(known[place[there]], found[there])
+        assert not units.is_cell[of[there]].any() and units.is_cell[of[~there]].all()
+        assert units.index is units.index
+
+
 def test_lm_tells_apart_words_beyond_the_most_frequent(spark):
     rng = np.random.default_rng(8)
     train = (i for i in itertools.count() if zlib.crc32(str(i).encode()) % 5 != 1)
