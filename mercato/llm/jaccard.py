@@ -11,8 +11,10 @@ on distinct shingle sets:
    prefixes, so the holders of a prefix shingle are a region whose documents may be near. Each region
    takes pivots, the document with the fewest shingles of its own first. Distances from documents to the
    pivots of their regions are computed exactly; a pivot's cell within EPS is linked by that alone.
-3. Recursion. A region whose documents are not yet all in one component joins again around new pivots.
-   A document beyond a cell takes part in every region whose window it is in: with distances to the
+3. Recursion. Regions of the same first pivot become one if that makes no more pairs: a group of near copies
+   is in a region for each shingle of its prefixes, and one for all does. A region whose documents are not yet
+   all in one component joins again around new pivots, those of its small components first. A document beyond a
+   cell takes part in every region whose window it is in: with distances to the
    region's first pivot that differ by more than EPS (triangle inequality), with sizes that differ by
    more than a fifth, or with too many shingles of their own, a document and a pivot are not compared. Regions end when one component or one document
    is left, so every pair is compared, excluded by a proof, or connected already.
@@ -50,6 +52,10 @@ SEGMENTS = 128
 POSTED_AT_ONCE = 500_000
 #: members of a region for each task that compares them with its pivot
 REGION_TASK = 1000
+#: pairs of a member and a pivot that are looked at together, and those of them whose segments are
+PAIRS_AT_ONCE, SEGMENTS_AT_ONCE = 500_000, 10_000
+#: pivots of a region that are compared with its members in one go, to keep a task's memory small
+PIVOT_TASK = 128
 _NO_DOC = 0xFFFF
 
 
@@ -308,13 +314,36 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _open(regions: DataFrame) -> DataFrame:
-    """What of ``regions`` (region, c, n, own, label, far, got, parts) is still to be compared: members that could
-    link with the smallest member at best, in regions that have more than one component of them."""
-    least = regions.groupBy("region").agg(F.min("n").alias("__least"))
-    alive = regions.join(least, "region").where(_may_link(F.col("n"), F.col("own"), F.col("__least"), F.col("own"))).drop("__least")
-    mixed = alive.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("region")
-    return materialise(alive.join(mixed, "region", "left_semi"), "jaccard-open")
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links`` (p, c) more: only the components that they join are looked at."""
+    if labels is None:
+        return components(links)
+    known = bounded(labels.select(F.col("c").alias("__node"), "label"))
+    for end in ("p", "c"):
+        links = links.join(known, F.col(end) == F.col("__node"), "left").withColumn(end, F.coalesce("label", end)).drop("__node", "label")
+    step = components(links)
+    nodes = labels.unionByName(step.select("c", F.col("c").alias("label")).join(labels, "c", "left_anti"))
+    moved = bounded(step.select(F.col("c").alias("label"), F.col("label").alias("to")))
+    return materialise(nodes.join(moved, "label", "left").select("c", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def _open(regions: DataFrame, key: list[str]) -> DataFrame:
+    """What of ``regions`` (key, c, n, own, label) is still to be compared: members that could link with the
+    smallest member at best, in regions that have more than one component of them."""
+    least = regions.groupBy(key).agg(F.min("n").alias("__least"))
+    alive = regions.join(least, key).where(_may_link(F.col("n"), F.col("own"), F.col("__least"), F.col("own"))).drop("__least")
+    mixed = alive.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(key)
+    return materialise(alive.join(mixed, key, "left_semi"), "jaccard-open")
+
+
+def united(regions: DataFrame) -> DataFrame:
+    """``regions`` (p, region, c, n, own, label) where those of one first pivot ``p`` are one, numbered 0, if its members make no
+    more pairs than theirs together: a group of near copies is in a region for each shingle of its prefixes."""
+    apart = regions.groupBy("p", "region").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("p").agg(F.sum(F.col("k") * F.col("k")).alias("apart"))
+    whole = regions.select("p", "c").distinct().groupBy("p").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    as_one = materialise(apart.join(whole, "p").where("k * k <= apart").select("p"), "jaccard-united")
+    one = regions.join(bounded(as_one), "p", "left_semi").withColumn("region", F.lit(0).cast("long")).distinct()
+    return one.unionByName(regions.join(bounded(as_one), "p", "left_anti"))
 
 
 def _may_link(n, own, m, other):
@@ -322,13 +351,121 @@ def _may_link(n, own, m, other):
     return F.least(own, other) * (100 + PERCENT) >= (n + m) * PERCENT
 
 
-def _overlap():
-    """Whether a member and a pivot can overlap enough, as far as their overlaps with the region's first
-    pivot tell: inside it at most the smaller of both in each segment, outside it at most what the one
-    has there that is not its alone."""
-    inside = F.aggregate(F.zip_with("parts", "pp", lambda a, b: F.least(a, b)), F.lit(0), lambda t, x: t + x)
-    outside = F.least(F.col("own") - F.col("got"), F.col("po") - F.col("pg"))
-    return F.coalesce((inside + outside) * (100 + PERCENT) >= (F.col("n") + F.col("pn")) * PERCENT, F.lit(True))
+def near_pairs(members: dict[str, np.ndarray], pivots: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of members and pivots of a region that have different labels and can link as far as is known:
+    by their sizes, by their distances to the region's first pivot, and by their overlaps with it: inside it at most
+    the smaller of both in each segment, outside it at most what the one has there that is not its alone.
+
+    A member has n, own, label, far, got, parts; far is nan where the first pivot wasn't compared.
+    """
+    at, to = [], []
+    step = max(1, PAIRS_AT_ONCE // max(1, len(members["n"])))
+    for start in range(0, len(pivots["n"]), step):
+        p = {x: v[start : start + step] for x, v in pivots.items()}
+        n, m = members["n"][:, None], p["n"][None, :]
+        may = members["label"][:, None] != p["label"][None, :]
+        may &= np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT
+        may &= np.minimum(members["own"][:, None], p["own"][None, :]) * (100 + PERCENT) >= (n + m) * PERCENT
+        may &= ~(np.abs(members["far"][:, None] - p["far"][None, :]) > EPS + 1e-9)  # true for nan
+        x, y = np.nonzero(may)
+        for cut in range(0, len(x), SEGMENTS_AT_ONCE):
+            i, j = x[cut : cut + SEGMENTS_AT_ONCE], y[cut : cut + SEGMENTS_AT_ONCE]
+            inside = np.minimum(members["parts"][i], p["parts"][j]).sum(axis=1, dtype=np.int64)
+            outside = np.minimum(members["own"][i] - members["got"][i], p["own"][j] - p["got"][j])
+            enough = (inside + outside) * (100 + PERCENT) >= (members["n"][i] + p["n"][j]) * PERCENT
+            enough |= np.isnan(members["far"][i]) | np.isnan(p["far"][j])
+            at.append(i[enough])
+            to.append(j[enough] + start)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *at]), np.concatenate([none, *to])
+
+
+def _groups(batch: pa.RecordBatch, key: list[str]) -> Iterator[tuple[tuple[int, ...], int, int]]:
+    """The stretches of rows of one ``key``: its values, first row and end."""
+    column = [batch.column(x).to_numpy(zero_copy_only=False) for x in key]
+    changes = np.zeros(max(0, batch.num_rows - 1), bool)
+    for x in column:
+        changes |= x[1:] != x[:-1]
+    cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield tuple(int(x[a]) for x in column), a, b
+
+
+def candidates(ranked: DataFrame, pivots: int) -> DataFrame:
+    """Blocks (p, region, salt, part, kind, c, label) of up to PIVOT_TASK of a region's first ``pivots`` members by k (kind 0) and
+    members (kind 1) to compare: those with a pair that :func:`near_pairs` doesn't exclude. A region of any size is
+    salted over tasks, each with all the pivots."""
+    held = ["p", "region", "salt", "kind", "c", "n", "own", "label", "far", "got", "parts"]
+    tasks = F.ceil(F.col("members") / REGION_TASK).cast("int")
+    rows = ranked.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("p", "region")))
+    centres = rows.where(F.col("k") <= pivots).withColumn("kind", F.lit(0)).withColumn("salt", F.explode(F.sequence(F.lit(0), tasks - 1)))
+    others = rows.withColumn("kind", F.lit(1)).withColumn("salt", F.pmod(F.xxhash64("c"), tasks).cast("int"))
+    dealt = centres.select(held).unionByName(others.select(held)).repartition("p", "region", "salt").sortWithinPartitions("p", "region", "salt", "kind", "c")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first, centre = None, [], {}
+        for batch in batches:
+            column = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "n", "own", "label")}
+            column["far"] = batch.column("far").to_numpy(zero_copy_only=False).astype(float)
+            column["got"] = batch.column("got").fill_null(0).to_numpy(zero_copy_only=False)
+            column["parts"] = np.zeros((batch.num_rows, SEGMENTS), np.int32)
+            known = batch.column("parts").is_valid().to_numpy(zero_copy_only=False)
+            column["parts"][known] = batch.column("parts").flatten().to_numpy(zero_copy_only=False).reshape(-1, SEGMENTS)
+            for (*now, kind), a, b in _groups(batch, ["p", "region", "salt", "kind"]):
+                block = {x: v[a:b] for x, v in column.items()}
+                if kind == 0:
+                    group, first, centre = now, (first if now == group else []) + [block], {}
+                    continue
+                centre = centre or {x: np.concatenate([f[x] for f in first]) for x in block}
+                i, j = near_pairs(block, centre)
+                part = j // PIVOT_TASK
+                for k in np.unique(part).tolist():
+                    ours, theirs = np.unique(j[part == k]), np.unique(i[part == k])
+                    size = len(ours) + len(theirs)
+                    where = [pa.array(np.full(size, x, kind)) for x, kind in zip((*now, k), ("i8", "i8", "i4", "i4"))]
+                    kinds = pa.array(np.repeat(np.array([0, 1], "i4"), [len(ours), len(theirs)]))
+                    what = [pa.array(np.concatenate([centre[x][ours], block[x][theirs]])) for x in ("c", "label")]
+                    yield pa.RecordBatch.from_arrays([*where, kinds, *what], names=["p", "region", "salt", "part", "kind", "c", "label"])
+
+    # members may come in two batches, each with its pivots
+    return dealt.mapInArrow(releasing(compare), "p long, region long, salt int, part int, kind int, c long, label long").distinct()
+
+
+def block_links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (p, c) of a block's pivots and members that have different labels, by the exact sizes of their intersections.
+    A set travels once for each of its blocks."""
+    key = ["p", "region", "salt", "part", "kind"]
+    rows = sets.select("c", "n", "tokens").join(bounded(blocks), "c").select(*key, "c", "n", "label", "tokens")
+    dealt = rows.repartition(*key[:-1]).sortWithinPartitions(*key, "c")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first, token = None, [], None
+        for batch in batches:
+            c, n, label = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "n", "label"))
+            out = []
+            for (*now, kind), a, b in _groups(batch, key):
+                tokens = [np.frombuffer(x, "<u8") for x in batch.column("tokens").slice(a, b - a).to_pylist()]
+                if kind == 0:
+                    group, first, token = now, (first if now == group else []) + [(c[a:b], n[a:b], label[a:b], tokens)], None
+                    continue
+                if token is None:
+                    pivot, size, of = (np.concatenate([f[x] for f in first]) for x in range(3))
+                    held = [t for f in first for t in f[3]]
+                    token = np.concatenate(held)
+                    order = np.argsort(token, kind="stable")
+                    token, owner = token[order], np.repeat(np.arange(len(held)), [len(t) for t in held])[order]
+                for x, s in enumerate(tokens, a):
+                    low, high = np.searchsorted(token, s), np.searchsorted(token, s, side="right")
+                    count = high - low
+                    at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    both = np.bincount(owner[at], minlength=len(pivot))
+                    link = (both * (100 + PERCENT) >= (size + n[x]) * PERCENT) & (of != label[x])
+                    out.append((pivot[link], np.full(link.sum(), c[x])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["p", "c"])
+
+    return materialise(dealt.mapInArrow(releasing(compare), "p long, c long"), "jaccard-links")
 
 
 def link_sets(sets: DataFrame, share: float) -> DataFrame | None:
@@ -343,42 +480,47 @@ def link_sets(sets: DataFrame, share: float) -> DataFrame | None:
     distinct = members.where("k > 1").groupBy("k", "x", "y").agg(F.min("region").alias("region")).select("region")
     facts = materialise(sets.select("c", "n", "own"), "jaccard-facts")
     regions = posted.join(distinct, "region", "left_semi").join(bounded(facts), "c")
-    unknown = {"label": F.col("c"), "far": F.lit(None).cast("double"), "got": F.lit(None).cast("long"), "parts": F.lit(None).cast("array<int>")}
-    open_ = _open(regions.withColumns(unknown))
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    pivots, first = 1, True
+    open_ = _open(regions.select("region", "c", "n", "own", F.col("c").alias("label")), ["region"])
+    if not open_.limit(1).count():
+        return None
+    # a document of few shingles of its own is central: many are near to it
+    central = Window.partitionBy("region").orderBy(F.col("n") - F.col("own"), "c")
+    centre = materialise(
+        open_.withColumn("k", F.row_number().over(central)).where("k = 1").select("region", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("own").alias("po")),
+        "jaccard-pivots",
+    )
+    cells = open_.join(centre, "region").where("c <> p")
+    near_in_size = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * PERCENT
+    met = cells.where(near_in_size & _may_link(F.col("n"), F.col("own"), F.col("pn"), F.col("po")))
+    measured = distances(met.select("p", "c").distinct(), sets)
+    labels = linked(None, measured.where(F.col("both") * 100 >= F.col("either") * PERCENT).select("p", "c"))
+    open_ = united(_open(relabelled(cells.select("p", "region", "c", "n", "own", "label"), labels), ["p", "region"]))
+    # the distance to the region's first pivot is what windows compare
+    apart = measured.select("p", "c", (1 - F.col("both") / F.col("either")).alias("far"), F.col("both").alias("got"), "parts")
+    open_ = materialise(open_.join(apart, ["p", "c"], "left"), "jaccard-cells")
+    # members of a region's small components go first: once they are compared, one component is left
+    count = F.count(F.lit(1)).over(Window.partitionBy("p", "region", "label"))
+    order = Window.partitionBy("p", "region").orderBy("size", F.col("n") - F.col("own"), "c")
+    pivots = 4
     while open_.limit(1).count():
-        # a document of few shingles of its own is central: many are near to it
-        order = Window.partitionBy("region").orderBy(F.col("n") - F.col("own"), "c")
-        chosen = materialise(
-            open_.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select(
-                "region", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("own").alias("po"), F.col("label").alias("pl"), F.col("far").alias("pf"),
-                F.col("got").alias("pg"), F.col("parts").alias("pp"), "k",
-            ),
-            "jaccard-pivots",
-        )
-        near_in_size = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * PERCENT
-        window = F.coalesce(F.abs(F.col("far") - F.col("pf")) <= EPS + 1e-9, F.lit(True))
-        may = _may_link(F.col("n"), F.col("own"), F.col("pn"), F.col("po"))
-        met = open_.join(chosen, "region").where((F.col("c") != F.col("p")) & (F.col("label") != F.col("pl")) & near_in_size & window & may & _overlap())
-        measured = distances(met.select("p", "c").distinct(), sets)
-        found = measured.where(F.col("both") * 100 >= F.col("either") * PERCENT).select("p", "c")
-        if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        rest = open_.join(chosen.select("region", F.col("p").alias("c")), ["region", "c"], "left_anti")
-        if first:  # the distance to the region's first pivot is what windows compare
-            centre = chosen.where("k = 1").select("region", "p")
-            apart = measured.select("p", "c", (1 - F.col("both") / F.col("either")).alias("far"), F.col("both").alias("got"), "parts")
-            rest = rest.drop("far", "got", "parts").join(centre, "region").join(apart, ["p", "c"], "left").drop("p")
-        if labels is not None:
-            rest = rest.drop("label").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        open_ = _open(rest.select("region", "c", "n", "own", "label", "far", "got", "parts"))
-        pivots, first = pivots * 4, False
+        ranked = materialise(open_.withColumn("size", count).withColumn("k", F.row_number().over(order)).drop("size"), "jaccard-pivots")
+        labels = linked(labels, block_links(materialise(candidates(ranked, pivots), "jaccard-blocks"), sets))
+        open_ = _open(relabelled(ranked.where(F.col("k") > pivots).drop("k"), labels), ["p", "region"])
+        pivots *= 4
     return labels
 
 
+def linked(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """``labels`` after the links ``found``, if any."""
+    return joined(labels, found) if found.limit(1).count() else labels
+
+
+def relabelled(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return regions
+    return regions.drop("label").join(bounded(labels), "c", "left").withColumn("label", F.coalesce("label", "c"))
+
+
 def near_duplicates(docs: DataFrame, share: float = SAMPLE) -> DataFrame:
     """Components of ``docs`` (doc_id, text) under links of Jaccard similarity 0.8 or more.
 
